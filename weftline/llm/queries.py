@@ -74,3 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_simhash_near_dedup, op8_suffix_dedup, op9_chat_formatting, op10_bpe,
     )
     return {f.__name__: f for f in own}
+
+
+def oracle_sql() -> dict[str, str]:
+    """None yet: models, fingerprints and tokenisers have no SQL form; tests hold them against brute force."""
+    return {}
