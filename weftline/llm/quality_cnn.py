@@ -37,6 +37,7 @@ class Settings:
     sample_rows: int = 6000
     sample_chunks: int = 8
     epochs: int = 5
+    least_steps: int = 200  # small samples are gone through more often
     batch: int = 64
     rate: float = 0.01
     threshold: float = 0.3
@@ -83,8 +84,10 @@ def train(texts: list[bytes], labels: np.ndarray, s: Settings) -> Model:
     params = [emb, fil, bias, w]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     step = 0
-    steps = s.epochs * (len(texts) // s.batch + 1)
-    for _ in range(s.epochs):
+    a_pass = len(texts) // s.batch + 1
+    epochs = max(s.epochs, -(-s.least_steps // a_pass))
+    steps = epochs * a_pass
+    for _ in range(epochs):
         order = rng.permutation(len(texts))
         for lo in range(0, len(order), s.batch):
             pick = order[lo : lo + s.batch]
