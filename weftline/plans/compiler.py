@@ -38,12 +38,28 @@ def same(a: Any, b: Any) -> Any:
     """M's equality: null equals null."""
     if is_constant(a) and is_constant(b):
         return a == b
-    return column(a).eqNullSafe(column(b))
+    return sure(column(a).eqNullSafe(column(b)))
+
+
+def sure(c: Column) -> Column:
+    """c, marked as a condition that is never null, so that it needs no guard that would keep it from the scan."""
+    c._never_null = True
+    return c
 
 
 def truth(v: Any) -> Any:
     """A condition: null counts as false."""
-    return F.coalesce(v.cast("boolean"), F.lit(False)) if is_column(v) else bool(v)
+    if not is_column(v):
+        return bool(v)
+    return v if getattr(v, "_never_null", False) is True else sure(F.coalesce(v.cast("boolean"), F.lit(False)))
+
+
+def compared(op: str, x: Column, y: Column, literals: tuple[bool, bool]) -> Column:
+    """x op y, false if either is null; written so that it can be pushed to a scan."""
+    out = {"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op]
+    for c, constant in zip((x, y), literals):
+        out = out if constant else c.isNotNull() & out
+    return sure(out)
 
 
 def text(v: Any) -> Any:
@@ -213,13 +229,13 @@ class Compiler:
             if not is_column(a):
                 return truth(self.value(node.right, scope)) if a == (node.op == "and") else a
             b = truth(self.value(node.right, scope))
-            return a & b if node.op == "and" else a | b
+            return sure(column(a) & column(b) if node.op == "and" else column(a) | column(b))
         return self.operate(node.op, a, self.value(node.right, scope))
 
     def operate(self, op: str, a: Any, b: Any) -> Any:
         if op in ("=", "<>"):
             eq = same(a, b)
-            return eq if op == "=" else (~eq if is_column(eq) else not eq)
+            return eq if op == "=" else (sure(~eq) if is_column(eq) else not eq)
         if op == "&":
             if isinstance(a, list) and isinstance(b, list):
                 return a + b
@@ -235,7 +251,7 @@ class Compiler:
             return self.fold(op, a, b)
         x, y = column(a), column(b)
         if op in ("<", ">", "<=", ">="):
-            return F.coalesce({"<": x < y, ">": x > y, "<=": x <= y, ">=": x >= y}[op], F.lit(False))
+            return compared(op, x, y, (is_constant(a) and a is not None, is_constant(b) and b is not None))
         if op == "/":
             x, y = x.cast("double"), y.cast("double")
             return F.try_divide(x, y) if self.trying else x / y
@@ -257,7 +273,7 @@ class Compiler:
         v = self.value(node.operand, scope)
         if node.op == "not":
             v = truth(v)
-            return ~v if is_column(v) else not v
+            return sure(~v) if is_column(v) else not v
         return -column(v) if not is_constant(v) else (None if v is None else -v)
 
     def _listexpr(self, node: N.ListExpr, scope: Scope) -> list:
