@@ -27,7 +27,7 @@ from . import batches, pretokens
 from .textbuf import hash_spans, text_buffer
 
 #: Distinct pre-tokens kept in a worker, and bytes of text worked on at once.
-KEEP, SLICE = 300_000, 4 << 20
+KEEP, SLICE = 150_000, 2 << 20
 NEVER = 1 << 40
 
 
@@ -300,6 +300,7 @@ def _over_texts(docs: DataFrame, path: str, schema: str, work) -> DataFrame:
             for lo, hi in batches.slices(batches.byte_sizes(batch.column("text")), SLICE):
                 part = batch.slice(lo, hi - lo)
                 yield work(c, part.column("doc_id"), part.column("text"))
+        pa.default_memory_pool().release_unused()  # the worker lives on, idle or with other work
 
     return batches.id_and_text(docs).mapInArrow(run, schema)
 
