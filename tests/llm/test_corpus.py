@@ -302,6 +302,20 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [40, 60, 200])
+def test_decontamination_of_reordered_items(spark, size):
+    r = random.Random(size)
+    item = [f"{w}{i}" for i, w in enumerate(prose(size, r).split())]
+    swapped = " ".join(item[size // 2 :] + item[: size // 2])
+    rows = [(1, swapped), (2, prose(50, r) + " " + swapped + " " + prose(70, r)), (3, prose(300, r)), (4, " ".join(item[: size // 2]))]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = {x["doc_id"]: x for x in decontaminate.contaminated(d, b).collect()}
+    same = size - 4 - 4  # four shingles over the cut differ
+    assert set(got) == {1, 2}
+    assert (got[1]["start"], got[2]["start"]) == (0, 50) and got[1]["similarity"] == pytest.approx(same / (2 * (size - 4) - same))
+    assert sorted(x["doc_id"] for x in decontaminate.drop_contaminated(d, b).collect()) == [3, 4]
+
+
 def test_lm(spark, docs, empty):
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     tokens = lambda t: [x.decode() for x in (t or "").encode().lower().split()] + ["\0end"]
