@@ -316,6 +316,16 @@ def test_decontamination_of_reordered_items(spark, size):
     assert sorted(x["doc_id"] for x in decontaminate.drop_contaminated(d, b).collect()) == [3, 4]
 
 
+def test_decontamination_beyond_the_radius(spark):
+    r = random.Random(1)
+    items = [(i, " ".join([*(f"w{i}x{j}" for j in range(180)), *["la"] * 20])) for i in range(8)]
+    rows = [(i, " ".join([*t.split()[:180], *(f"y{i}z{j}" for j in range(20))])) for i, t in items]
+    rows += [(100 + i, prose(20, r) + " " + t + " " + prose(20, r)) for i, t in rows]
+    d, b = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontaminate.contaminated(d, b).collect()}
+    assert got == pytest.approx({(i, i % 100): 176 / (2 * 196 - 176) for i, _ in rows})
+
+
 def test_lm(spark, docs, empty):
     path = tokenizer_path("byte_bpe_50k.tiktoken")
     tokens = lambda t: [x.decode() for x in (t or "").encode().lower().split()] + ["\0end"]

@@ -12,7 +12,8 @@ A window may also be like an item without being aligned to any shingle of it,
 as when the item's parts are in another order. A window of similarity s has at
 least s / (1 + s) of its and the item's shingles together in common, so every
 start, aligned or not, at which that many places hold shingles of the item is
-laid too. Candidates are verified by the exact weighted Jaccard similarity of
+laid too, and aligned windows beyond the radius are found by the same bound, so
+that none is lost. Candidates are verified by the exact weighted Jaccard similarity of
 their shingles. An item's leak into a document is told by its aligned windows,
 and by the others where no aligned one is similar enough.
 
@@ -162,7 +163,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
         .select("key", "doc_id", "n", "start", F.lit(True).alias("aligned"), "shingles", "item_id")
     )
-    full = windows.where("not aligned").select("key", "doc_id", "n", "start", "aligned", "shingles", F.explode("item_ids").alias("item_id"))
+    full = windows.select("key", "doc_id", "n", "start", "aligned", "shingles", F.explode("item_ids").alias("item_id"))
     return (
         near.unionByName(full).distinct().join(indexed.select("item_id", "n", "item_shingles"), ["item_id", "n"])
         .select("key", "doc_id", "item_id", "start", F.col("n").alias("n_words"), "aligned", similarity(F.col("shingles"), F.col("item_shingles")).alias("similarity"))
