@@ -1,0 +1,30 @@
+"""op5 in long texts dense in digits: no span is cut."""
+
+import random
+
+import pytest
+
+from weftline.llm import pii
+
+
+def test_a_key_across_4096_characters():
+    weights, key = pii.train(), "3f9c0a7be1d24856bc90ef1324a7d5e8"
+    for at in range(4040, 4110, 6):
+        text = "1 " * (at // 2) + key + " 1" * 300
+        spans = pii.find(text, weights)[1]
+        assert (at, at + len(key), pii.KINDS.index("secret")) in spans
+        assert key[-6:] not in pii.masked(text, spans)
+
+
+def test_regions_end_between_words():
+    text = "x" * 200 + "7" + "y" * 200 + " plain words" * 20 + " 8 " + "z" * 100
+    assert pii._regions(text)[0] == (0, 401) and pii._regions(text)[-1][1] == len(text)
+
+
+def test_slices_give_the_scores_of_the_whole(monkeypatch):
+    r = random.Random(3)
+    text = " ".join(r.choice(["key: 'a1b2c3d4e5f60718'", "+1 (212) 555-0100", "a.b@c.de", "10.0.0.1", "word", "7"]) for _ in range(150))
+    weights, toks = pii.train(), [(m.start(), m.end()) for m in pii._TOKEN.finditer(text)]
+    want = pii._scores(pii._lattice(text, toks), weights)
+    monkeypatch.setattr(pii, "SLICE_TOKENS", 20)
+    assert pii._all_scores(text, toks, weights) == pytest.approx(want)

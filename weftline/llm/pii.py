@@ -84,7 +84,9 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the semi-Markov CRF ----
 
-MAX_TOKENS, AROUND, MAX_REGION = 14, 48, 4096
+MAX_TOKENS, AROUND = 14, 48
+#: Tokens whose features are held at a time; scores do not depend on it.
+SLICE_TOKENS = 1024
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _TRIGGER = re.compile(r"[0-9@]")
 _CUES = {  # fixed values: words that announce a kind
@@ -267,18 +269,42 @@ def train(examples: int = 220, epochs: int = 6, seed: int = 5) -> np.ndarray:
     return w
 
 
+_WORD = re.compile(r"\w*")
+
+
 def _regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at-signs, cut at lengths that bound the work of one segmentation."""
-    out: list[list[int]] = []
+    """Stretches around digits and at-signs, apart from each other; no word runs over an end of one."""
+    near: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
         lo, hi = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if out and lo <= out[-1][1] and hi - out[-1][0] <= MAX_REGION:
-            out[-1][1] = hi
+        if near and lo <= near[-1][1]:
+            near[-1][1] = hi
+        else:
+            near.append([lo, hi])
+    out: list[list[int]] = []
+    for lo, hi in near:
+        done = out[-1][1] if out else 0
+        if _WORD.match(text, lo).end() > lo:
+            while lo > done and _WORD.match(text, lo - 1, lo).end() == lo:
+                lo -= 1
+        if _WORD.match(text, hi - 1, hi).end() == hi:
+            hi = _WORD.match(text, hi).end()
+        if out and lo <= done:
+            out[-1][1] = max(done, hi)
         else:
             out.append([lo, hi])
     return [tuple(x) for x in out]
 
 
+def _all_scores(text: str, toks: list[tuple[int, int]], weights: np.ndarray) -> np.ndarray:
+    """_scores of the whole lattice, from slices of it with the tokens around them that features look at."""
+    out = []
+    for a in range(0, len(toks), SLICE_TOKENS):
+        b, first = min(a + SLICE_TOKENS, len(toks)), max(0, a - 3)
+        out.append(_scores(_lattice(text, toks[first : b + MAX_TOKENS]), weights)[a - first : b - first])
+    return np.concatenate(out)
+
+
 def _worth(feats_of_text: str) -> bool:
     return bool(_PLAUSIBLE.search(feats_of_text))
 
@@ -294,13 +320,11 @@ def added_spans(text: str, weights: np.ndarray, base: list[Span]) -> list[Span]:
         if not _worth(part):
             continue
         toks = [(m.start(), m.end()) for m in _TOKEN.finditer(part)]
-        if lo and toks and toks[0][0] == 0 and text[lo - 1].isalnum():
-            toks = toks[1:]  # a token that begins before the region
         if not toks:
             continue
-        for i, k, y in viterbi(_scores(_lattice(part, toks), weights)):
+        for i, k, y in viterbi(_all_scores(part, toks, weights)):
             s, e = lo + toks[i][0], lo + toks[i + k - 1][1]
-            if all(e <= a or s >= b for a, b, _ in base) and (not out or s >= out[-1][1]):
+            if all(e <= a or s >= b for a, b, _ in base):
                 out.append((s, e, y))
     return out
 
