@@ -7,10 +7,18 @@ arrays, to the partition that owns each key's range. The owner sees every key
 at most once from each bucket, however often it occurs there, and answers each
 bucket in one packed row. So neither a frequent key nor a large group of copies
 gathers more than one entry a bucket anywhere, and nothing comes to the driver.
+
+n buckets send at most n * n rows, and never more than they have distinct keys.
+Beyond ``GROWS_FROM`` bytes a bucket grows as the square root of the corpus, so
+n does too, and the rows grow in proportion to the corpus.
+
+The rows to deal should come from a scan or a checkpoint: rows get a number that
+spreads repeated ones, and a lost task must number them as before.
 """
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable
 
@@ -23,26 +31,34 @@ from pyspark.sql import functions as F
 from . import batches
 from .shared import settle, shared_folder
 
-BUCKET_BYTES = 8 << 20
+#: Bytes of text in a bucket of a corpus up to GROWS_FROM bytes, and most rows.
+BUCKET_BYTES, BUCKET_ROWS, GROWS_FROM = 8 << 20, 8192, 60 << 30
 SENT = "owner int, b int, payload binary"
 ANSWER = "b int, part int, payload binary"
 
 
+def n_buckets(total: int, rows: int, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets for total bytes in so many rows; in proportion to the root of total beyond GROWS_FROM."""
+    grown = bucket_bytes * max(1.0, (total / GROWS_FROM) ** 0.5)
+    return max(1, math.ceil(total / grown), math.ceil(rows / (BUCKET_ROWS * grown / bucket_bytes)))
+
+
 def dealt(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, int, int]:
     """(rows of b, doc_id, text; number of buckets; bytes of text): a written table, bucketed by b, that is read as often as needed."""
     spark = docs.sparkSession
     rows = batches.id_and_text(docs)
-    total = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    n = max(1, -(-int(total) // bucket_bytes))
+    held = rows.agg(F.sum(F.octet_length("text")).alias("n"), F.count("*").alias("rows")).first()
+    total = int(held["n"] or 0)
+    n = n_buckets(total, held["rows"], bucket_bytes)
     files = max(1, -(-n // 2))
     name = f"weftline_{uuid.uuid4().hex}"
-    # the text takes part in the hash so that many rows of one id, or without an id, do not meet in one bucket
-    bucket = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    # text and row number take part in the hash, so that neither rows of one id nor equal rows meet in one bucket
+    bucket = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n)).cast("int")
     (
         rows.select(bucket.alias("b"), "doc_id", "text").repartition(files, "b")
         .write.format("parquet").option("compression", "zstd").option("path", f"{shared_folder(spark)}/{name}").bucketBy(files, "b").saveAsTable(name)
     )
-    return spark.table(name), n, int(total)
+    return spark.table(name), n, total
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -55,14 +71,21 @@ def owners(keys: np.ndarray, n: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def pieces(keys: np.ndarray, n_owners: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owners of some of the sorted keys, where each one's keys begin, and their number at the end)."""
+    own = owners(keys, n_owners)
+    cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
+    return own[cuts], np.append(cuts, len(own))
+
+
+def sent_rows(b: int, own: np.ndarray, payloads: list[bytes]) -> pa.Table:
+    return pa.table({"owner": pa.array(own, pa.int32()), "b": pa.array(np.full(len(own), b), pa.int32()), "payload": pa.array(payloads, pa.binary())})
+
+
 def send(b: int, keys: np.ndarray, n_owners: int, pack: Callable[[slice], bytes]) -> pa.Table:
     """One row for each owner of some of the sorted, distinct keys; pack gives the bytes for a slice of them."""
-    cuts = np.searchsorted(owners(keys, n_owners), np.arange(n_owners + 1))
-    parts = [(o, int(cuts[o]), int(cuts[o + 1])) for o in range(n_owners) if cuts[o] < cuts[o + 1]]
-    return pa.table({
-        "owner": pa.array([o for o, _, _ in parts], pa.int32()), "b": pa.array([b] * len(parts), pa.int32()),
-        "payload": pa.array([pack(slice(lo, hi)) for _, lo, hi in parts], pa.binary()),
-    })
+    own, cuts = pieces(keys, n_owners)
+    return sent_rows(b, own, [pack(slice(lo, hi)) for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist())])
 
 
 def exchange(sent: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:

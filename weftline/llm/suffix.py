@@ -1,25 +1,32 @@
-"""Exact removal of repeated byte strings on a prefix-free parse.
-
-A hash of the eight bytes at each place makes some places triggers, about one
-in 64, and triggers cut a document into phrases. Equal strings have equal
-triggers, so a string of ``window`` bytes is compared by its first trigger: it
-begins in the phrase that ends there (a suffix of a dictionary word) and goes
-on along the parse. What the suffix arrays of dictionary and parse would bring
-next to each other, namely the occurrences of a phrase's suffix whose parses
-agree, is found here by equality classes instead of one global order, which no
-single task could hold:
-
-1. For each trigger, the unit (all windows that first meet this trigger), its
-   right context and its left context are named by 64-bit hashes, and the names
-   are exchanged. A unit that occurs twice is repeated as a whole.
-2. Only where different units share a context, at the edges of repeats, single
-   windows are compared; of equal units, one stands for all.
-3. Windows without a trigger are compared one by one.
-
-So highly repetitive text costs one name a phrase, not one suffix a byte.
+"""Exact removal of repeated byte strings by prefix-free parsing.
+
+A rolling hash of eight bytes makes about one place in 48 a trigger, and
+triggers cut a document into phrases that overlap by those eight bytes. Equal
+strings have equal triggers, so a repeat consists of equal whole phrases but
+for a part of one at each end.
+
+1. Dictionary: the phrases that occur at least twice, compared by their bytes
+   and sorted; a phrase's place in that order is its rank. A phrase that occurs
+   once ends every repeat, so it needs no rank.
+2. Parse: its suffixes, as ranks, each as far as ``window`` bytes behind its
+   first phrase or to a phrase that occurs once, are sorted in range partitions.
+   That is the corpus order of the text from triggers on, and neighbours in it
+   tell how far each suffix recurs in whole phrases. Equal suffixes count once.
+3. Ends: the windows of one first and one last trigger have the same whole
+   phrases inside. Where those recur with different phrases around them, a
+   repeat ends within a phrase, and instead of sorting all suffixes of the
+   dictionary, one row a byte, just these windows are compared one by one by
+   128-bit hashes, and so are windows with less than two triggers.
+
+A bucket (see buckets.py) sends each phrase, suffix, group and window at most once, so
+highly repetitive text costs a rank a phrase, and no key is hot.
+
+Eight bytes of a period up to four are no trigger, so that no run of one
+character becomes a phrase a byte.
 
 Nulls: a null text is an empty one. Rows of equal id or without an id are
-documents of their own. Positions and lengths are UTF-8 bytes.
+documents of their own. Positions and lengths are UTF-8 bytes. An empty table
+gives none; columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -29,254 +36,417 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import batches, buckets
-from .textbuf import Rolling, mix, spans_of, text_buffer
+from .shared import settle
+from .textbuf import Rolling, classes, members, mix, spans_of, spread, text_buffer
 
-WINDOW, TRIGGER, RATE_BITS = 400, 8, 6
-HALF = WINDOW // 2
+WINDOW, TRIGGER, RATE = 400, 8, 48
+INSIDE = WINDOW - TRIGGER  # a trigger is in a window that begins at most so many bytes before it
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 SLICE = 1 << 20
 
 
-def _triggers(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    lanes = np.ndarray(shape=(len(buf),), dtype="<u8", buffer=padded, strides=(1,))
-    out = np.zeros(len(buf), bool)
-    for lo in range(0, len(buf), 1 << 15):  # blocks that stay in the cache
-        x = lanes[lo : lo + (1 << 15)] * np.uint64(0x9E3779B97F4A7C15)
-        x ^= x >> np.uint64(32)
-        x *= np.uint64(0xD6E8FEB86659FD93)
-        out[lo : lo + (1 << 15)] = (x >> np.uint64(64 - RATE_BITS)) == 0
-    ends = (offsets[1:, None] - np.arange(1, TRIGGER)).ravel()  # eight bytes there would run into the next document
-    out[ends[ends >= np.repeat(offsets[:-1], TRIGGER - 1)]] = False
-    return np.flatnonzero(out)
-
-
-class _Units:
-    """The units of a slice of documents: first and last window start, trigger, and the names of unit and contexts."""
+def _triggers(buf: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> np.ndarray:
+    n = len(buf) - TRIGGER + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    limit = np.uint64((1 << 32) // RATE)
+    found = []
+    for lo in range(0, n, 1 << 15):  # blocks that stay in the cache
+        at = slice(lo, min(lo + (1 << 15), n))
+        h = (rolling.sums[at.start + TRIGGER : at.stop + TRIGGER] - rolling.sums[at]) * rolling.back[at]
+        found.append(np.flatnonzero(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32) < limit) + lo)
+    t = np.concatenate(found)
+    doc = np.searchsorted(offsets, t, side="right") - 1
+    t = t[t + TRIGGER <= offsets[doc + 1]]
+    eight = buf[t[:, None] + np.arange(TRIGGER)]
+    for period in range(1, 5):
+        keep = (eight[:, period:] != eight[:, :-period]).any(1)
+        t, eight = t[keep], eight[keep]
+    return t
+
+
+class Parse:
+    """The phrases of a slice of documents: triggers, starts, ends, documents, and 128-bit names; of last ones, that nothing follows."""
 
     def __init__(self, buf: np.ndarray, offsets: np.ndarray):
-        self.rolling = Rolling(_VALUES[buf])
-        t = _triggers(buf, offsets)
-        doc = np.searchsorted(offsets, t, side="right") - 1
-        begin, end = offsets[doc], offsets[doc + 1]
-        before = np.full(len(t), -1)
-        before[1:] = np.where(doc[1:] == doc[:-1], t[:-1], -1)
-        lo = np.maximum(np.maximum(before + 1, begin), t - (WINDOW - TRIGGER))
-        hi = np.minimum(t, end - WINDOW)
-        ok = lo <= hi
-        self.t, self.lo, self.hi, begin, end = t[ok], lo[ok], hi[ok], begin[ok], end[ok]
-        t, lo, hi = self.t, self.lo, self.hi
-        self.name = mix(self.rolling.of(lo, hi + WINDOW - lo) + (t - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (hi - lo).astype(np.uint64))
-        self.has_right, self.has_left = hi >= t - HALF, lo <= t - HALF
-        zero = np.zeros(len(t), np.uint64)
-        self.right, self.left = zero.copy(), zero.copy()
-        r, e = self.has_right, self.has_left
-        self.right[r] = mix(self.rolling.of(t[r], HALF) ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-        self.left[e] = mix(self.rolling.of(t[e] - HALF, HALF + TRIGGER) ^ np.uint64(0x5C5C5C5C5C5C5C5C))
-        # window starts that no unit covers
-        cover = np.zeros(len(buf) + 1, np.int32)
-        np.add.at(cover, lo, 1)
-        np.add.at(cover, hi + 1, -1)
-        free = np.cumsum(cover)[:-1] == 0
-        cannot = np.zeros(len(buf) + 1, np.int32)
-        np.add.at(cannot, np.maximum(offsets[1:] - WINDOW + 1, offsets[:-1]), 1)
-        np.add.at(cannot, offsets[1:], -1)
-        free &= np.cumsum(cannot)[:-1] == 0
-        self.bare = np.flatnonzero(free)
-
-
-def _slices(table: pa.Table):
+        self.buf, self.offsets = buf, offsets
+        values = _VALUES[buf]
+        rolling = Rolling(values)
+        self.t = _triggers(buf, offsets, rolling)
+        self.starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], self.t)
+        self.doc = np.searchsorted(offsets, self.starts, side="right") - 1
+        new = np.concatenate([[True], self.doc[1:] != self.doc[:-1]]) if len(self.doc) else np.zeros(0, bool)
+        self.first, self.last = new, np.append(new[1:], True)[: len(new)]
+        self.ends = np.where(self.last, offsets[self.doc + 1], np.append(self.starts[1:], 0)[: len(new)] + TRIGGER)
+        size = self.ends - self.starts
+        salt = size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        self.hi = mix(rolling.of(self.starts, size) + salt)
+        self.lo = Rolling(values, 1).of(self.starts, size) + salt
+
+    def keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each window."""
+        if not len(starts):
+            return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        values = _VALUES[self.buf]
+        return Rolling(values).of(starts, WINDOW), Rolling(values, 1).of(starts, WINDOW)
+
+
+def _parsed(table: pa.Table):
     column = table["text"].combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
     for lo, hi in batches.slices(batches.byte_sizes(column), SLICE):
-        yield lo, hi, *text_buffer(column.slice(lo, hi - lo))
+        yield Parse(*text_buffer(column.slice(lo, hi - lo)))
 
 
-def _distinct(keys: np.ndarray):
-    """(distinct keys, order, where each begins in that order)."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    begin = np.flatnonzero(new)
-    return keys[begin], order, begin
+def _cat(parts, kind=np.uint64) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
 
 
-def _spread(values: np.ndarray, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """Values of distinct keys given back to all that have the key."""
-    out = np.empty(len(order), values.dtype)
-    out[order] = np.repeat(values, np.diff(np.append(begin, len(order))))
-    return out
-
-
-class _Names:
-    """All names of a bucket, distinct and sorted."""
+class _Phrases:
+    """The parse of a bucket, and each slice's phrases as places among the distinct ones."""
 
     def __init__(self, table: pa.Table):
-        units = [_Units(buf, off) for _, _, buf, off in _slices(table)]
-        cat = lambda f, kind: np.concatenate([np.zeros(0, kind), *(getattr(u, f) for u in units)])
-        self.sizes = [len(u.t) for u in units]
-        self.name, right, left = (cat(f, np.uint64) for f in ("name", "right", "left"))
-        self.has_right, self.has_left = cat("has_right", bool), cat("has_left", bool)
-        self.units, self.unit_order, self.unit_begin = _distinct(self.name)
-        context = np.concatenate([right[self.has_right], left[self.has_left]])
-        unit = np.concatenate([self.name[self.has_right], self.name[self.has_left]])
-        self.contexts, self.context_order, self.context_begin = _distinct(context)
-        if len(context):
-            u = unit[self.context_order]
-            self.least = np.minimum.reduceat(u, self.context_begin)
-            self.mixed = np.maximum.reduceat(u, self.context_begin) != self.least
-        else:
-            self.least, self.mixed = np.zeros(0, np.uint64), np.zeros(0, bool)
-        self.many = np.diff(np.append(self.unit_begin, len(self.name))) > 1
+        self.parses = list(_parsed(table))
+        hi = _cat(p.hi for p in self.parses)
+        self.order, self.begin = classes(hi, _cat(p.lo for p in self.parses))
+        self.n = len(self.begin)
+        place = spread(np.arange(self.n), self.order, self.begin)
+        self.cuts = np.concatenate([[0], np.cumsum([len(p.hi) for p in self.parses])]).astype(np.int64)
+        self.places = [place[a:b] for a, b in zip(self.cuts, self.cuts[1:])]
+        self.keys = hi[self.order[self.begin]] if self.n else np.zeros(0, np.uint64)
+        self.many = members(self.order, self.begin) > 1
+
+    def word(self, j: int) -> bytes:
+        i = int(self.order[self.begin[j]])
+        s = int(np.searchsorted(self.cuts, i, side="right")) - 1
+        p, i = self.parses[s], i - int(self.cuts[s])
+        return p.buf[p.starts[i] : p.ends[i]].tobytes()
 
 
 def _send_names(table: pa.Table, b: int, n: int) -> pa.Table:
-    x = _Names(table)
-    marks = np.arange(n + 1)
-    cu, cc = np.searchsorted(buckets.owners(x.units, n), marks), np.searchsorted(buckets.owners(x.contexts, n), marks)
-    low = x.contexts.astype(np.uint32)
-    rows = []
-    for o in range(n):
-        u, c = slice(cu[o], cu[o + 1]), slice(cc[o], cc[o + 1])
-        nu, nc = int(cu[o + 1] - cu[o]), int(cc[o + 1] - cc[o])
-        if nu or nc:
-            head = np.array([nu, nc], np.uint32).tobytes()
-            rows.append((o, head + x.units[u].tobytes() + x.least[c].tobytes() + low[c].tobytes() + np.packbits(np.concatenate([x.many[u], x.mixed[c]])).tobytes()))
-    return pa.table({"owner": pa.array([o for o, _ in rows], pa.int32()), "b": pa.array([b] * len(rows), pa.int32()), "payload": pa.array([p for _, p in rows], pa.binary())})
-
-
-def _join_names(payloads: list[bytes]) -> list[bytes]:
-    """For each unit: repeated, and whether this bucket stands for it; for each context: whether different units share it."""
-    units, least, low, many, mixed, sizes = [], [], [], [], [], []
-    for p in payloads:
-        nu, nc = (int(v) for v in np.frombuffer(p, np.uint32, 2))
-        units.append(np.frombuffer(p, np.uint64, nu, 8))
-        least.append(np.frombuffer(p, np.uint64, nc, 8 + 8 * nu))
-        low.append(np.frombuffer(p, np.uint32, nc, 8 + 8 * nu + 8 * nc))
-        flags = np.unpackbits(np.frombuffer(p, np.uint8, -1, 8 + 8 * nu + 12 * nc), count=nu + nc).astype(bool)
-        many.append(flags[:nu])
-        mixed.append(flags[nu:])
-        sizes.append((nu, nc))
-    units, least, low, many, mixed = map(np.concatenate, (units, least, low, many, mixed))
-    repeated = stands = shared = np.zeros(0, bool)
-    if len(units):
-        _, order, begin = _distinct(units)
-        repeated = _spread(np.add.reduceat(1 + many[order], begin) > 1, order, begin)
-        stands = np.zeros(len(units), bool)
-        stands[order[begin]] = True  # stable: the first bucket
-    if len(low):
-        _, order, begin = _distinct(low)
+    x = _Phrases(table)
+    return buckets.send(b, x.keys, n, lambda s: x.keys[s].tobytes() + x.many[s].tobytes())
+
+
+def _packed(flags: np.ndarray, sizes: list[int]) -> list[bytes]:
+    cuts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return [np.uint32(n).tobytes() + np.packbits(flags[lo : lo + n]).tobytes() for lo, n in zip(cuts, sizes)]
+
+
+def _twice(payloads: list[bytes], width: int) -> list[bytes]:
+    """Of keys of width 64-bit parts, the first sorted, each with whether its bucket has it twice: which of them occur twice in all."""
+    sizes = [len(p) // (8 * width + 1) for p in payloads]
+    parts = [_cat([np.frombuffer(p, np.uint64, n, 8 * n * w) for p, n in zip(payloads, sizes)]) for w in range(width)]
+    many = _cat([np.frombuffer(p, bool, n, 8 * n * width) for p, n in zip(payloads, sizes)], bool)
+    order, begin = classes(parts[0], parts[-1])
+    twice = spread(np.add.reduceat(1 + many[order], begin) > 1, order, begin) if len(begin) else np.zeros(0, bool)
+    return _packed(twice, sizes)
+
+
+def _flags(got: pa.Table) -> np.ndarray:
+    return _cat([np.unpackbits(np.frombuffer(p, np.uint8, -1, 4), count=int(np.frombuffer(p, np.uint32, 1)[0])).astype(bool) for p in buckets.answers(got)], bool)
+
+
+def _words(table: pa.Table, b: int, got: pa.Table) -> pa.Table:
+    """The bucket's phrases that occur twice in the corpus, by their place among its distinct ones."""
+    x = _Phrases(table)
+    j = np.flatnonzero(_flags(got))
+    return pa.table({"b": pa.array(np.full(len(j), b), pa.int32()), "i": pa.array(j, pa.int32()), "word": pa.array([x.word(k) for k in j.tolist()], pa.binary())})
+
+
+class _Suffixes:
+    """The suffixes of a bucket's parse, as ranks; equal ones are one class."""
+
+    def __init__(self, table: pa.Table, marks: pa.Table):
+        x = _Phrases(table)
+        rank = np.full(x.n, -1, np.int64)
+        rank[np.asarray(marks["i"], dtype=np.int64)] = np.asarray(marks["v"], dtype=np.int64)
+        self.parses = x.parses
+        self.at, self.size, self.ranks, hi, lo = [], [], [], [], []
+        for p, place in zip(x.parses, x.places):
+            r = rank[place]
+            at = np.flatnonzero(r >= 0)
+            stops = np.append(np.flatnonzero(r < 0), len(r))
+            until = stops[np.searchsorted(stops, at)]
+            edges = np.append(np.flatnonzero(p.last) + 1, len(r))
+            until = np.minimum(until, edges[np.searchsorted(edges, at, side="right")])
+            behind = np.where(p.last, p.ends, p.ends - TRIGGER)[at]
+            until = np.minimum(until, np.searchsorted(p.ends, behind + WINDOW) + 1)
+            size = until - at
+            values = mix(r.astype(np.uint64) + np.uint64(1))
+            hi.append(Rolling(values).of(at, size)), lo.append(Rolling(values, 1).of(at, size))
+            self.at.append(at), self.size.append(size), self.ranks.append(r)
+        self.order, self.begin = classes(_cat(hi), _cat(lo))
+        self.cuts = np.concatenate([[0], np.cumsum([len(a) for a in self.at])]).astype(np.int64)
+
+    def rows(self, b: int) -> pa.Table:
+        """One row for each class, with the ranks of its first member."""
+        first = self.order[self.begin]
+        which = np.searchsorted(self.cuts, first, side="right") - 1
+        lists = []
+        for s, i in zip(which.tolist(), first.tolist()):
+            i -= int(self.cuts[s])
+            a = self.at[s][i]
+            lists.append(self.ranks[s][a : a + self.size[s][i]])
+        off = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+        ranks = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(_cat(lists, np.int64)))
+        return pa.table({
+            "b": pa.array(np.full(len(first), b), pa.int32()), "i": pa.array(np.arange(len(first)), pa.int32()),
+            "ranks": ranks, "n": pa.array(members(self.order, self.begin), pa.int64()),
+        })
+
+
+def _common(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of each list and the next: the number of equal first values."""
+    if len(off) < 3:
+        return np.zeros(max(0, len(off) - 2), np.int64)
+    size = np.diff(off)
+    least = np.minimum(size[:-1], size[1:])
+    cut = np.concatenate([[0], np.cumsum(least)])
+    step = np.arange(int(cut[-1])) - np.repeat(cut[:-1], least)
+    differ = flat[np.repeat(off[:-2], least) + step] != flat[np.repeat(off[1:-1], least) + step]
+    first = np.append(np.flatnonzero(differ), len(differ))
+    return np.minimum(first[np.searchsorted(first, cut[:-1])] - cut[:-1], least)
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten(), dtype=np.int64), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths(), dtype=np.int64))])
+
+
+def recurring(suffixes: DataFrame, partitions: int) -> DataFrame:
+    """ranks and v, the number of first phrases that recur, of each distinct suffix: its own length if it occurs twice, else from its neighbours in order.
+
+    Neighbours in other partitions are the last and first suffix of these; two rows a partition come to the driver.
+    """
+    counted = suffixes.groupBy("ranks").agg(F.sum("n").alias("n"))
+    order = settle(counted.repartitionByRange(partitions, "ranks").sortWithinPartitions("ranks").withColumn("p", F.spark_partition_id()))
+
+    def ends(it):
+        first = last = None
+        for batch in it:
+            if batch.num_rows:
+                first = first or batch.slice(0, 1)
+                last = batch.slice(batch.num_rows - 1, 1)
+        if first is not None:
+            yield first.select(["p", "ranks"])
+            yield last.select(["p", "ranks"])
+
+    by_part: dict[int, list[list[int]]] = {}
+    for r in order.mapInArrow(ends, "p int, ranks array<long>").collect():
+        by_part.setdefault(r["p"], []).append(list(r["ranks"]))
+    parts = sorted(by_part)
+    before = {p: max(by_part[q]) for q, p in zip(parts, parts[1:])}
+    behind = {p: min(by_part[q]) for p, q in zip(parts, parts[1:])}
+
+    def neighbours(it):
+        held: pa.RecordBatch | None = None
+        previous = None
+
+        def done(batch: pa.RecordBatch, nxt):
+            flat, off = _lists(batch.column("ranks"))
+            around = [np.array(x if x is not None else [], np.int64) for x in (previous, nxt)]
+            all_off = np.concatenate([[0], off + len(around[0]), [off[-1] + len(around[0]) + len(around[1])]])
+            shared = _common(np.concatenate([around[0], flat, around[1]]), all_off)
+            v = np.maximum(shared[:-1], shared[1:])
+            v = np.where(np.asarray(batch.column("n")) > 1, np.diff(off), v)
+            return pa.RecordBatch.from_arrays([batch.column("ranks"), pa.array(v, pa.int64())], ["ranks", "v"])
+
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            if held is None:
+                previous = before.get(batch.column("p")[0].as_py())
+            else:
+                yield done(held, batch.column("ranks")[0].as_py())
+                previous = held.column("ranks")[held.num_rows - 1].as_py()
+            held = batch
+        if held is not None:
+            yield done(held, behind.get(held.column("p")[0].as_py()))
+
+    return order.mapInArrow(neighbours, "ranks array<long>, v long")
+
+
+def _ragged(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, how manieth) of n[i] members each."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+
+
+class _Groups:
+    """The windows of a slice by first and last trigger: ranges of starts, and names of the phrases inside and with those around.
+
+    Only groups whose inner phrases recur in this order; ``always`` holds the ranges of windows with less than two triggers.
+    """
+
+    def __init__(self, p: Parse, n: np.ndarray):
+        t, offsets = p.t, p.offsets
+        doc = np.searchsorted(offsets, t, side="right") - 1
+        last = offsets[doc + 1] - WINDOW
+        begins = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(t) else np.zeros(0, bool)
+        lo = np.where(begins, offsets[doc], np.append(0, t[:-1] + 1)[: len(t)])
+        # without a trigger: before each, and behind the last one of a document
+        final = offsets[:-1].copy()
+        np.maximum.at(final, doc, t + 1)
+        bare = [(lo, np.minimum(t - INSIDE - 1, last)), (final, offsets[1:] - WINDOW)]
+        lo, hi = np.maximum(lo, t - INSIDE), np.minimum(t, last)
+        i = np.flatnonzero(lo <= hi)
+        m_lo = np.searchsorted(t, lo[i] + INSIDE, side="right") - 1
+        m_hi = np.searchsorted(t, hi[i] + INSIDE, side="right") - 1
+        which, step = _ragged(m_hi - m_lo + 1)
+        i, m = i[which], m_lo[which] + step
+        after = np.append(t[1:], len(p.buf) + WINDOW)[m]
+        lo, hi = np.maximum(lo[i], t[m] - INSIDE), np.minimum(hi[i], after - INSIDE - 1)
+        one = i == m
+        bare.append((lo[one], hi[one]))
+        self.always = tuple(np.concatenate(x) for x in zip(*bare))
+        phrase = np.searchsorted(p.starts, t[i])
+        ok = ~one & (lo <= hi) & (n[phrase] >= m - i)
+        k, size, self.lo, self.hi = phrase[ok], (m - i)[ok], lo[ok], hi[ok]
+        rolling = Rolling(p.hi)
+        self.inner = mix(rolling.of(k, size) + size.astype(np.uint64))
+        before = np.where(p.first[k], 0, 1)
+        around = np.where(p.first[k], np.uint64(0x5C5C5C5C5C5C5C5C), np.uint64(0))
+        self.outer = mix(rolling.of(k - before, size + 1 + before) ^ around)
+
+
+class _Marked:
+    """What ranks and recurring suffixes tell of a bucket: of each slice its parse and how many phrases recur together from each on."""
+
+    def __init__(self, table: pa.Table, marks: pa.Table):
+        kind = np.asarray(marks["kind"])
+        x = _Suffixes(table, marks.filter(pa.array(kind == 0)))
+        told = marks.filter(pa.array(kind == 1))
+        v = np.zeros(len(x.begin), np.int64)
+        v[np.asarray(told["i"], dtype=np.int64)] = np.asarray(told["v"], dtype=np.int64)
+        v = spread(v, x.order, x.begin)
+        self.slices = []
+        for p, at, a, b in zip(x.parses, x.at, x.cuts, x.cuts[1:]):
+            n = np.zeros(len(p.starts), np.int64)
+            n[at] = v[a:b]
+            self.slices.append((p, n))
+        self.groups = [_Groups(p, n) for p, n in self.slices]
+        inner = _cat(g.inner for g in self.groups)
+        outer = _cat(g.outer for g in self.groups)
+        self.cuts = np.concatenate([[0], np.cumsum([len(g.inner) for g in self.groups])]).astype(np.int64)
+        self.order, self.begin = classes(inner, inner)
+        self.inner = inner[self.order[self.begin]] if len(inner) else inner
+        if len(inner):
+            self.least = np.minimum.reduceat(outer[self.order], self.begin)
+            self.mixed = np.maximum.reduceat(outer[self.order], self.begin) != self.least
+        else:
+            self.least, self.mixed = inner, np.zeros(0, bool)
+
+    def open(self, mixed: np.ndarray):
+        """Of each slice the starts of windows to compare; mixed: of each distinct inner name, whether different phrases are around it."""
+        mixed = spread(mixed, self.order, self.begin)
+        for (p, _), g, a, b in zip(self.slices, self.groups, self.cuts, self.cuts[1:]):
+            on = mixed[a:b]
+            lo, hi = np.concatenate([g.lo[on], g.always[0]]), np.concatenate([g.hi[on], g.always[1]])
+            which, step = _ragged(np.maximum(hi - lo + 1, 0))
+            yield np.unique(lo[which] + step)
+
+    @staticmethod
+    def runs(p: Parse, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(starts, ends) of the recurring runs of whole phrases."""
+        k = np.flatnonzero(n)
+        return p.starts[k], p.ends[k + n[k] - 1]
+
+
+def _send_groups(table: pa.Table, b: int, marks: pa.Table, n: int) -> pa.Table:
+    x = _Marked(table, marks)
+    return buckets.send(b, x.inner, n, lambda s: x.inner[s].tobytes() + x.least[s].tobytes() + x.mixed[s].tobytes())
+
+
+def _mixed(payloads: list[bytes]) -> list[bytes]:
+    """Which inner names have different phrases around them."""
+    sizes = [len(p) // 17 for p in payloads]
+    inner, least = (_cat(np.frombuffer(p, np.uint64, n, 8 * n * w) for p, n in zip(payloads, sizes)) for w in (0, 1))
+    mixed = _cat((np.frombuffer(p, bool, n, 16 * n) for p, n in zip(payloads, sizes)), bool)
+    order, begin = classes(inner, inner)
+    if len(begin):
         u = least[order]
         differ = np.minimum.reduceat(u, begin) != np.maximum.reduceat(u, begin)
-        shared = _spread(differ | np.logical_or.reduceat(mixed[order], begin), order, begin)
-    out, iu, ic = [], 0, 0
-    for nu, nc in sizes:
-        flags = np.concatenate([repeated[iu : iu + nu], stands[iu : iu + nu], shared[ic : ic + nc]])
-        out.append(np.array([nu, nc], np.uint32).tobytes() + np.packbits(flags).tobytes())
-        iu, ic = iu + nu, ic + nc
-    return out
-
-
-class _Open:
-    """What the names leave open: the windows of a bucket to compare one by one, slice by slice."""
-
-    def __init__(self, table: pa.Table, got: pa.Table):
-        x = _Names(table)
-        rep, stands, shared = [np.zeros(0, bool)], [np.zeros(0, bool)], [np.zeros(0, bool)]
-        for p in buckets.answers(got):
-            nu, nc = (int(v) for v in np.frombuffer(p, np.uint32, 2))
-            f = np.unpackbits(np.frombuffer(p, np.uint8, -1, 8), count=2 * nu + nc).astype(bool)
-            rep.append(f[:nu]), stands.append(f[nu : 2 * nu]), shared.append(f[2 * nu :])
-        rep, stands, shared = map(np.concatenate, (rep, stands, shared))
-        self.repeated = _spread(rep, x.unit_order, x.unit_begin)
-        chosen = np.zeros(len(x.name), bool)
-        chosen[x.unit_order[x.unit_begin]] = stands
-        context = _spread(shared, x.context_order, x.context_begin)
-        right, left = np.zeros(len(x.name), bool), np.zeros(len(x.name), bool)
-        k = int(x.has_right.sum())
-        right[x.has_right], left[x.has_left] = context[:k], context[k:]
-        compare = ~self.repeated | chosen
-        self.right, self.left = right & compare, left & compare
-        self.sizes = x.sizes
-
-    def slices(self, table: pa.Table):
-        """(first row, last row, bytes, offsets, units, starts of windows to compare, their keys, slice of units)."""
-        at = 0
-        for (lo, hi, buf, off), k in zip(_slices(table), self.sizes):
-            u, own = _Units(buf, off), slice(at, at + k)
-            at += k
-            starts = [u.bare]
-            for on, first, last in (
-                (self.right[own], np.maximum(u.lo, u.t - HALF), u.hi),
-                (self.left[own], u.lo, np.minimum(u.hi, u.t - HALF)),
-            ):
-                a, n = first[on], np.maximum(last[on] - first[on] + 1, 0)
-                skip = np.concatenate([[0], np.cumsum(n)])
-                starts.append(np.repeat(a - skip[:-1], n) + np.arange(int(skip[-1])))
-            starts = np.unique(np.concatenate(starts)).astype(np.int64)
-            yield lo, hi, buf, off, u, starts, u.rolling.of(starts, WINDOW), own
+        mixed = spread(differ | np.logical_or.reduceat(mixed[order], begin), order, begin)
+    return _packed(mixed, sizes)
+
+
+def _told(got: pa.Table, kind: int) -> np.ndarray:
+    """The flags that the owners of keys have sent, in the order of the keys."""
+    answers = got.filter(pa.array(np.asarray(got["kind"]) == kind))
+    return _flags(pa.table({"part": answers["i"], "payload": answers["payload"]}))
 
 
 def _send_windows(table: pa.Table, b: int, got: pa.Table, n: int) -> pa.Table:
-    keys = np.concatenate([np.zeros(0, np.uint64), *(s[6] for s in _Open(table, got).slices(table))])
-    keys, order, begin = _distinct(keys)
-    many = np.diff(np.append(begin, len(order))) > 1
-    return buckets.send(b, keys, n, lambda s: keys[s].tobytes() + many[s].tobytes())
-
-
-def _join_windows(payloads: list[bytes]) -> list[bytes]:
-    """The keys of each bucket that occur twice."""
-    sizes = [len(p) // 9 for p in payloads]
-    keys = np.concatenate([np.frombuffer(p, np.uint64, n) for p, n in zip(payloads, sizes)])
-    many = np.concatenate([np.frombuffer(p, bool, n, 8 * n) for p, n in zip(payloads, sizes)])
-    _, order, begin = _distinct(keys)
-    twice = _spread(np.add.reduceat(1 + many[order], begin) > 1, order, begin)
-    cuts = np.concatenate([[0], np.cumsum(sizes)])
-    return [keys[lo : lo + n][twice[lo : lo + n]].tobytes() for lo, n in zip(cuts, sizes)]
-
-
-def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with ``texts`` the kept bytes as kept (binary), for every row of docs."""
-    rows, n, _ = buckets.dealt(docs)
-    names = buckets.exchange(buckets.each(rows, lambda b, t: _send_names(t, b, n), buckets.SENT), _join_names)
-    windows = buckets.exchange(buckets.each_with(rows, names, lambda b, t, got: _send_windows(t, b, got, n), buckets.SENT), _join_windows)
-    marked = names.selectExpr("b", "part", "payload", "0 AS kind").unionByName(windows.selectExpr("b", "part", "payload", "1 AS kind"))
+    x = _Marked(table, got)
+    keys = [p.keys(starts) for (p, _), starts in zip(x.slices, x.open(_told(got, 2)))]
+    hi, lo = (_cat(k[w] for k in keys) for w in (0, 1))
+    order, begin = classes(hi, lo)
+    many, first = members(order, begin) > 1, order[begin]
+    hi, lo = hi[first], lo[first]
+    return buckets.send(b, hi, n, lambda s: hi[s].tobytes() + lo[s].tobytes() + many[s].tobytes())
+
+
+def remove_repeats(docs: DataFrame, texts: bool = True, bucket_bytes: int = buckets.BUCKET_BYTES) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, longest_run, and with ``texts`` the kept bytes as kept (binary), for every row of docs.
+
+    longest_run: bytes of the longest run of whole phrases that occurs elsewhere as well, also where it is shorter than a window.
+    """
+    rows, n, total = buckets.dealt(docs, bucket_bytes)
+    partitions = max(1, -(-total // (64 << 20)))
+    names = buckets.exchange(buckets.each(rows, lambda b, t: _send_names(t, b, n), buckets.SENT), lambda ps: _twice(ps, 1))
+    words = settle(buckets.each_with(rows, names, lambda b, t, got: _words(t, b, got), "b int, i int, word binary"))
+    dictionary = settle(words.select("word").distinct().repartitionByRange(partitions, "word").sortWithinPartitions("word").withColumn("v", F.monotonically_increasing_id()))
+    ranks = settle(words.join(dictionary, "word").selectExpr("b", "0 AS kind", "i", "v", "CAST(NULL AS BINARY) AS payload"))
+    suffixes = settle(buckets.each_with(rows, ranks, lambda b, t, got: _Suffixes(t, got).rows(b), "b int, i int, ranks array<long>, n long"))
+    told = suffixes.select("b", "i", "ranks").join(recurring(suffixes, partitions), "ranks").where("v > 0")
+    marks = settle(ranks.unionByName(told.selectExpr("b", "1 AS kind", "i", "v", "CAST(NULL AS BINARY) AS payload")))
+    groups = buckets.exchange(buckets.each_with(rows, marks, lambda b, t, got: _send_groups(t, b, got, n), buckets.SENT), _mixed)
+    marks = marks.unionByName(groups.selectExpr("b", "2 AS kind", "part AS i", "CAST(NULL AS LONG) AS v", "payload"))
+    sent = buckets.each_with(rows, marks, lambda b, t, got: _send_windows(t, b, got, n), buckets.SENT)
+    windows = buckets.exchange(sent, lambda ps: _twice(ps, 2))
+    known = marks.unionByName(windows.selectExpr("b", "3 AS kind", "part AS i", "CAST(NULL AS LONG) AS v", "payload"))
 
     def finish(b: int, table: pa.Table, got: pa.Table) -> pa.Table:
-        kind = np.asarray(got["kind"])
-        state = _Open(table, got.filter(pa.array(kind == 0)))
-        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(p, np.uint64) for p in buckets.answers(got.filter(pa.array(kind == 1))))])
-        out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
-        for _, _, buf, off, u, starts, own_keys, own in state.slices(table):
+        state = _Marked(table, got)
+        starts_of = list(state.open(_told(got, 2)))
+        keys = [p.keys(starts) for (p, _), starts in zip(state.slices, starts_of)]
+        twice = spread(_told(got, 3), *classes(_cat(k[0] for k in keys), _cat(k[1] for k in keys)))
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in starts_of])]).astype(np.int64)
+        out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "longest_run": [], "kept": []}
+        for (p, count), starts, lo, hi in zip(state.slices, starts_of, cuts, cuts[1:]):
+            buf, off = p.buf, p.offsets
             gone = np.zeros(len(buf) + 1, np.int64)
-            if len(keys) and len(starts):
-                i = np.minimum(np.searchsorted(keys, own_keys), len(keys) - 1)
-                bad = starts[keys[i] == own_keys]
-                np.add.at(gone, bad, 1)
-                np.add.at(gone, bad + WINDOW, -1)
-            rep = state.repeated[own]
-            np.add.at(gone, u.lo[rep], 1)
-            np.add.at(gone, u.hi[rep] + WINDOW, -1)
+            bad = starts[twice[lo:hi]]
+            np.add.at(gone, bad, 1)
+            np.add.at(gone, bad + WINDOW, -1)
+            s, e = state.runs(p, count)
+            long = e - s >= WINDOW
+            np.add.at(gone, s[long], 1)
+            np.add.at(gone, e[long], -1)
             gone = np.cumsum(gone)[:-1] > 0
+            longest = np.zeros(len(off) - 1, np.int64)
+            np.maximum.at(longest, np.searchsorted(off, s, side="right") - 1, e - s)
             begins, _ = spans_of(gone, off)
             lost = np.diff(np.concatenate([[0], np.cumsum(gone)])[off])
-            spans = np.diff(np.searchsorted(begins, off))
             for i in range(len(off) - 1):
-                own_bytes = buf[off[i] : off[i + 1]]
-                kept = (own_bytes[~gone[off[i] : off[i + 1]]] if lost[i] else own_bytes).tobytes()
+                own = buf[off[i] : off[i + 1]]
+                kept = (own[~gone[off[i] : off[i + 1]]] if lost[i] else own).tobytes()
                 out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
                 if texts:
                     out["kept"].append(kept)
             out["n_bytes"] += np.diff(off).tolist()
             out["n_removed"] += lost.tolist()
-            out["n_spans"] += spans.tolist()
+            out["n_spans"] += np.diff(np.searchsorted(begins, off)).tolist()
+            out["longest_run"] += longest.tolist()
         kinds = {"kept_sha256": pa.string(), "kept": pa.binary()}
         cols = {k: pa.array(v, kinds.get(k, pa.int64())) for k, v in out.items() if texts or k != "kept"}
         return pa.table({"doc_id": table["doc_id"]} | cols)
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return buckets.each_with(rows, marked, finish, schema)
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, longest_run long" + ", kept binary" * texts
+    return buckets.each_with(rows, known, finish, schema)

@@ -119,15 +119,18 @@ def powers(q: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of runs of values: ``of(starts, n)`` hashes n values from each start."""
+    """Hashes of runs of values: ``of(starts, n)`` hashes n values from each start.
 
-    Q = 0xD1342543DE82EF95
+    Two of them, of both multipliers in QS, give 128 bits.
+    """
 
-    def __init__(self, values: np.ndarray):
-        n = len(values)
+    QS = (0xD1342543DE82EF95, 0xAF251AF3B0F025B5)
+
+    def __init__(self, values: np.ndarray, which: int = 0):
+        n, q = len(values), self.QS[which]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(values * powers(self.Q, n), out=self.sums[1:])
-        self.back = powers(_odd_inverse(self.Q), n + 1)
+        np.cumsum(values * powers(q, n), out=self.sums[1:])
+        self.back = powers(_odd_inverse(q), n + 1)
 
     def of(self, starts: np.ndarray, n) -> np.ndarray:
         return mix((self.sums[starts + n] - self.sums[starts]) * self.back[starts] + np.uint64(1))
@@ -142,3 +145,26 @@ def window_starts(offsets: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.repeat(offsets[:-1] - np.concatenate([[0], np.cumsum(size)[:-1]]), size)
     return first + np.arange(total)
+
+
+def classes(hi: np.ndarray, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, where each begins in it) of the distinct pairs of a 128-bit key, by hi, then lo; equal keys keep their order."""
+    order = np.argsort(hi, kind="stable")
+    a, b = hi[order], lo[order]
+    same = a[1:] == a[:-1]
+    if (b[1:][same] != b[:-1][same]).any():
+        order = np.lexsort((lo, hi))
+        a, b = hi[order], lo[order]
+        same = (a[1:] == a[:-1]) & (b[1:] == b[:-1])
+    return order, np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else np.zeros(0, np.int64)
+
+
+def spread(values: np.ndarray, order: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """Values of classes given back to all their members."""
+    out = np.empty(len(order), values.dtype)
+    out[order] = np.repeat(values, np.diff(np.append(begin, len(order))))
+    return out
+
+
+def members(order: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    return np.diff(np.append(begin, len(order)))
