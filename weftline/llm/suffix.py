@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import batches, buckets
 from .shared import settle
-from .textbuf import Rolling, classes, members, mix, spans_of, spread, text_buffer
+from .textbuf import Rolling, classes, hash_spans, members, mix, spans_of, spread, text_buffer
 
 WINDOW, TRIGGER, RATE = 400, 8, 48
 INSIDE = WINDOW - TRIGGER  # a trigger is in a window that begins at most so many bytes before it
@@ -52,12 +52,12 @@ def _triggers(buf: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> np.ndar
     n = len(buf) - TRIGGER + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    limit = np.uint64((1 << 32) // RATE)
+    limit = np.uint64((1 << 64) // RATE)
     found = []
     for lo in range(0, n, 1 << 15):  # blocks that stay in the cache
         at = slice(lo, min(lo + (1 << 15), n))
         h = (rolling.sums[at.start + TRIGGER : at.stop + TRIGGER] - rolling.sums[at]) * rolling.back[at]
-        found.append(np.flatnonzero(((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(32) < limit) + lo)
+        found.append(np.flatnonzero(h < limit) + lo)
     t = np.concatenate(found)
     doc = np.searchsorted(offsets, t, side="right") - 1
     t = t[t + TRIGGER <= offsets[doc + 1]]
@@ -76,7 +76,8 @@ class Parse:
         values = _VALUES[buf]
         rolling = Rolling(values)
         self.t = _triggers(buf, offsets, rolling)
-        self.starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], self.t)
+        starts = np.sort(np.concatenate([offsets[:-1][np.diff(offsets) > 0], self.t]), kind="stable")
+        self.starts = starts[np.append(starts[1:] != starts[:-1], True)[: len(starts)]]
         self.doc = np.searchsorted(offsets, self.starts, side="right") - 1
         new = np.concatenate([[True], self.doc[1:] != self.doc[:-1]]) if len(self.doc) else np.zeros(0, bool)
         self.first, self.last = new, np.append(new[1:], True)[: len(new)]
@@ -84,7 +85,7 @@ class Parse:
         size = self.ends - self.starts
         salt = size.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
         self.hi = mix(rolling.of(self.starts, size) + salt)
-        self.lo = Rolling(values, 1).of(self.starts, size) + salt
+        self.lo = hash_spans(buf, self.starts, self.ends)
 
     def keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """128 bits of each window."""
