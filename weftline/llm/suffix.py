@@ -16,7 +16,7 @@ for a part of one at each end.
    phrases inside. Where those recur with different phrases around them, a
    repeat ends within a phrase, and instead of sorting all suffixes of the
    dictionary, one row a byte, just these windows are compared one by one by
-   128-bit hashes, and so are windows with less than two triggers.
+   96-bit hashes, and so are windows with less than two triggers.
 
 A bucket (see buckets.py) sends each phrase, suffix, group and window at most once, so
 highly repetitive text costs a rank a phrase, and no key is hot.
@@ -32,6 +32,7 @@ gives none; columns other than id and text are not read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,10 @@ from .shared import settle
 from .textbuf import Rolling, classes, hash_spans, members, mix, spans_of, spread, text_buffer
 
 WINDOW, TRIGGER, RATE = 400, 8, 48
+#: Bytes of a rank, and the partitions that the dictionary is sorted in at most.
+RANK, PARTITIONS = 6, 1 << 15
+#: Kinds of what comes back to a bucket.
+RANKS, SUFFIXES, COUNTS, GROUPS, WINDOWS = range(5)
 INSIDE = WINDOW - TRIGGER  # a trigger is in a window that begins at most so many bytes before it
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 SLICE = 1 << 20
@@ -138,12 +143,14 @@ def _packed(flags: np.ndarray, sizes: list[int]) -> list[bytes]:
     return [np.uint32(n).tobytes() + np.packbits(flags[lo : lo + n]).tobytes() for lo, n in zip(cuts, sizes)]
 
 
-def _twice(payloads: list[bytes], width: int) -> list[bytes]:
-    """Of keys of width 64-bit parts, the first sorted, each with whether its bucket has it twice: which of them occur twice in all."""
-    sizes = [len(p) // (8 * width + 1) for p in payloads]
-    parts = [_cat([np.frombuffer(p, np.uint64, n, 8 * n * w) for p, n in zip(payloads, sizes)]) for w in range(width)]
-    many = _cat([np.frombuffer(p, bool, n, 8 * n * width) for p, n in zip(payloads, sizes)], bool)
-    order, begin = classes(parts[0], parts[-1])
+def _twice(payloads: list[bytes], more: bool = False) -> list[bytes]:
+    """Of 64-bit keys, with ``more`` of 96 bits, each with whether its bucket has it twice: which occur twice in all."""
+    width = 8 + 4 * more + 1
+    sizes = [len(p) // width for p in payloads]
+    hi = _cat(np.frombuffer(p, np.uint64, n) for p, n in zip(payloads, sizes))
+    lo = _cat((np.frombuffer(p, np.uint32, n, 8 * n) for p, n in zip(payloads, sizes)), np.uint32) if more else hi
+    many = _cat((np.frombuffer(p, bool, n, (width - 1) * n) for p, n in zip(payloads, sizes)), bool)
+    order, begin = classes(hi, lo)
     twice = spread(np.add.reduceat(1 + many[order], begin) > 1, order, begin) if len(begin) else np.zeros(0, bool)
     return _packed(twice, sizes)
 
@@ -185,19 +192,18 @@ class _Suffixes:
         self.cuts = np.concatenate([[0], np.cumsum([len(a) for a in self.at])]).astype(np.int64)
 
     def rows(self, b: int) -> pa.Table:
-        """One row for each class, with the ranks of its first member."""
+        """One row for each class, with the ranks of its first member, written so that bytes sort as ranks do."""
         first = self.order[self.begin]
         which = np.searchsorted(self.cuts, first, side="right") - 1
-        lists = []
-        for s, i in zip(which.tolist(), first.tolist()):
-            i -= int(self.cuts[s])
-            a = self.at[s][i]
-            lists.append(self.ranks[s][a : a + self.size[s][i]])
-        off = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-        ranks = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(_cat(lists, np.int64)))
+        ranks, at, size = _cat(self.ranks, np.int64), _cat(self.at, np.int64), _cat(self.size, np.int64)[first]
+        skipped = np.concatenate([[0], np.cumsum([len(r) for r in self.ranks])]).astype(np.int64)
+        member, step = _ragged(size)
+        flat = ranks[(at[first] + skipped[which])[member] + step].astype(">i8").view(np.uint8).reshape(-1, 8)[:, 8 - RANK :].tobytes()
+        offsets = np.concatenate([[0], np.cumsum(size * RANK)]).astype(np.int32)
         return pa.table({
             "b": pa.array(np.full(len(first), b), pa.int32()), "i": pa.array(np.arange(len(first)), pa.int32()),
-            "ranks": ranks, "n": pa.array(members(self.order, self.begin), pa.int64()),
+            "ranks": pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(flat)]),
+            "n": pa.array(members(self.order, self.begin), pa.int64()),
         })
 
 
@@ -214,18 +220,20 @@ def _common(flat: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.minimum(first[np.searchsorted(first, cut[:-1])] - cut[:-1], least)
 
 
-def _lists(column) -> tuple[np.ndarray, np.ndarray]:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.asarray(column.flatten(), dtype=np.int64), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths(), dtype=np.int64))])
+def _values(raw: bytes) -> np.ndarray:
+    """The ranks written in some bytes."""
+    out = np.zeros((len(raw) // RANK, 8), np.uint8)
+    out[:, 8 - RANK :] = np.frombuffer(raw, np.uint8).reshape(-1, RANK)
+    return out.view(">i8")[:, 0].astype(np.int64)
 
 
 def recurring(suffixes: DataFrame, partitions: int) -> DataFrame:
-    """ranks and v, the number of first phrases that recur, of each distinct suffix: its own length if it occurs twice, else from its neighbours in order.
+    """b, i and v, the number of first phrases that recur, of each suffix: its own length if it occurs twice, else from its neighbours in order.
 
     Neighbours in other partitions are the last and first suffix of these; two rows a partition come to the driver.
+    A suffix has a place (b, i) at most once a bucket.
     """
-    counted = suffixes.groupBy("ranks").agg(F.sum("n").alias("n"))
+    counted = suffixes.groupBy("ranks").agg(F.sum("n").alias("n"), F.collect_list(F.struct("b", "i")).alias("at"))
     order = settle(counted.repartitionByRange(partitions, "ranks").sortWithinPartitions("ranks").withColumn("p", F.spark_partition_id()))
 
     def ends(it):
@@ -235,42 +243,42 @@ def recurring(suffixes: DataFrame, partitions: int) -> DataFrame:
                 first = first or batch.slice(0, 1)
                 last = batch.slice(batch.num_rows - 1, 1)
         if first is not None:
-            yield first.select(["p", "ranks"])
-            yield last.select(["p", "ranks"])
+            yield first
+            yield last
 
-    by_part: dict[int, list[list[int]]] = {}
-    for r in order.mapInArrow(ends, "p int, ranks array<long>").collect():
-        by_part.setdefault(r["p"], []).append(list(r["ranks"]))
+    by_part: dict[int, list[bytes]] = {}
+    for r in order.select("p", "ranks").mapInArrow(ends, "p int, ranks binary").collect():
+        by_part.setdefault(r["p"], []).append(bytes(r["ranks"]))
     parts = sorted(by_part)
     before = {p: max(by_part[q]) for q, p in zip(parts, parts[1:])}
     behind = {p: min(by_part[q]) for p, q in zip(parts, parts[1:])}
 
     def neighbours(it):
         held: pa.RecordBatch | None = None
-        previous = None
+        previous = b""
 
-        def done(batch: pa.RecordBatch, nxt):
-            flat, off = _lists(batch.column("ranks"))
-            around = [np.array(x if x is not None else [], np.int64) for x in (previous, nxt)]
-            all_off = np.concatenate([[0], off + len(around[0]), [off[-1] + len(around[0]) + len(around[1])]])
-            shared = _common(np.concatenate([around[0], flat, around[1]]), all_off)
+        def done(batch: pa.RecordBatch, nxt: bytes):
+            lists = [previous, *batch.column("ranks").to_pylist(), nxt]
+            size = np.array([len(x) // RANK for x in lists], dtype=np.int64)
+            shared = _common(_values(b"".join(lists)), np.concatenate([[0], np.cumsum(size)]))
             v = np.maximum(shared[:-1], shared[1:])
-            v = np.where(np.asarray(batch.column("n")) > 1, np.diff(off), v)
-            return pa.RecordBatch.from_arrays([batch.column("ranks"), pa.array(v, pa.int64())], ["ranks", "v"])
+            v = np.where(np.asarray(batch.column("n")) > 1, size[1:-1], v)
+            return pa.RecordBatch.from_arrays([pa.array(v, pa.int64()), batch.column("at")], ["v", "at"]).filter(pa.array(v > 0))
 
         for batch in it:
             if not batch.num_rows:
                 continue
             if held is None:
-                previous = before.get(batch.column("p")[0].as_py())
+                previous = before.get(batch.column("p")[0].as_py(), b"")
             else:
                 yield done(held, batch.column("ranks")[0].as_py())
                 previous = held.column("ranks")[held.num_rows - 1].as_py()
             held = batch
         if held is not None:
-            yield done(held, behind.get(held.column("p")[0].as_py()))
+            yield done(held, behind.get(held.column("p")[0].as_py(), b""))
 
-    return order.mapInArrow(neighbours, "ranks array<long>, v long")
+    found = order.mapInArrow(neighbours, "v long, at array<struct<b:int,i:int>>")
+    return found.select("v", F.explode("at").alias("x")).select("x.b", "x.i", "v")
 
 
 def _ragged(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -316,21 +324,37 @@ class _Groups:
         self.outer = mix(rolling.of(k - before, size + 1 + before) ^ around)
 
 
+def _counts(table: pa.Table, got: pa.Table) -> list[tuple[Parse, np.ndarray]]:
+    """Of each slice the parse, and how many phrases recur together from each on, from ranks and recurring suffixes."""
+    kind = np.asarray(got["kind"])
+    x = _Suffixes(table, got.filter(pa.array(kind == RANKS)))
+    told = got.filter(pa.array(kind == SUFFIXES))
+    v = np.zeros(len(x.begin), np.int64)
+    v[np.asarray(told["i"], dtype=np.int64)] = np.asarray(told["v"], dtype=np.int64)
+    v = spread(v, x.order, x.begin)
+    out = []
+    for p, at, a, b in zip(x.parses, x.at, x.cuts, x.cuts[1:]):
+        n = np.zeros(len(p.starts), np.int64)
+        n[at] = v[a:b]
+        out.append((p, n))
+    return out
+
+
+def _unpacked(table: pa.Table, got: pa.Table) -> list[tuple[Parse, np.ndarray]]:
+    """The same, from the packed counts that _send_groups has written."""
+    (packed,) = got.filter(pa.array(np.asarray(got["kind"]) == COUNTS))["payload"].to_pylist()
+    n, at, out = np.frombuffer(zlib.decompress(packed), np.uint16).astype(np.int64), 0, []
+    for p in _parsed(table):
+        out.append((p, n[at : at + len(p.starts)]))
+        at += len(p.starts)
+    return out
+
+
 class _Marked:
-    """What ranks and recurring suffixes tell of a bucket: of each slice its parse and how many phrases recur together from each on."""
+    """The groups of a bucket's windows, and their distinct inner names."""
 
-    def __init__(self, table: pa.Table, marks: pa.Table):
-        kind = np.asarray(marks["kind"])
-        x = _Suffixes(table, marks.filter(pa.array(kind == 0)))
-        told = marks.filter(pa.array(kind == 1))
-        v = np.zeros(len(x.begin), np.int64)
-        v[np.asarray(told["i"], dtype=np.int64)] = np.asarray(told["v"], dtype=np.int64)
-        v = spread(v, x.order, x.begin)
-        self.slices = []
-        for p, at, a, b in zip(x.parses, x.at, x.cuts, x.cuts[1:]):
-            n = np.zeros(len(p.starts), np.int64)
-            n[at] = v[a:b]
-            self.slices.append((p, n))
+    def __init__(self, slices: list[tuple[Parse, np.ndarray]]):
+        self.slices = slices
         self.groups = [_Groups(p, n) for p, n in self.slices]
         inner = _cat(g.inner for g in self.groups)
         outer = _cat(g.outer for g in self.groups)
@@ -359,9 +383,14 @@ class _Marked:
         return p.starts[k], p.ends[k + n[k] - 1]
 
 
-def _send_groups(table: pa.Table, b: int, marks: pa.Table, n: int) -> pa.Table:
-    x = _Marked(table, marks)
-    return buckets.send(b, x.inner, n, lambda s: x.inner[s].tobytes() + x.least[s].tobytes() + x.mixed[s].tobytes())
+def _send_groups(table: pa.Table, b: int, got: pa.Table, n: int) -> pa.Table:
+    """Inner names for their owners, and for the bucket itself the counts of its phrases."""
+    x = _Marked(_counts(table, got))
+    sent = buckets.send(b, x.inner, n, lambda s: x.inner[s].tobytes() + x.least[s].tobytes() + x.mixed[s].tobytes())
+    counts = _cat((k for _, k in x.slices), np.int64)
+    # a count over 65535 would be of phrases of a byte each; less is told than is so, and such windows are compared
+    own = zlib.compress(np.minimum(counts, 65535).astype(np.uint16).tobytes(), 1)
+    return pa.concat_tables([sent, buckets.sent_rows(b, np.array([-1]), [own])])
 
 
 def _mixed(payloads: list[bytes]) -> list[bytes]:
@@ -384,12 +413,13 @@ def _told(got: pa.Table, kind: int) -> np.ndarray:
 
 
 def _send_windows(table: pa.Table, b: int, got: pa.Table, n: int) -> pa.Table:
-    x = _Marked(table, got)
-    keys = [p.keys(starts) for (p, _), starts in zip(x.slices, x.open(_told(got, 2)))]
+    x = _Marked(_unpacked(table, got))
+    keys = [p.keys(starts) for (p, _), starts in zip(x.slices, x.open(_told(got, GROUPS)))]
     hi, lo = (_cat(k[w] for k in keys) for w in (0, 1))
     order, begin = classes(hi, lo)
     many, first = members(order, begin) > 1, order[begin]
     hi, lo = hi[first], lo[first]
+    lo = lo.astype(np.uint32)
     return buckets.send(b, hi, n, lambda s: hi[s].tobytes() + lo[s].tobytes() + many[s].tobytes())
 
 
@@ -399,25 +429,30 @@ def remove_repeats(docs: DataFrame, texts: bool = True, bucket_bytes: int = buck
     longest_run: bytes of the longest run of whole phrases that occurs elsewhere as well, also where it is shorter than a window.
     """
     rows, n, total = buckets.dealt(docs, bucket_bytes)
-    partitions = max(1, -(-total // (64 << 20)))
-    names = buckets.exchange(buckets.each(rows, lambda b, t: _send_names(t, b, n), buckets.SENT), lambda ps: _twice(ps, 1))
-    words = settle(buckets.each_with(rows, names, lambda b, t, got: _words(t, b, got), "b int, i int, word binary"))
-    dictionary = settle(words.select("word").distinct().repartitionByRange(partitions, "word").sortWithinPartitions("word").withColumn("v", F.monotonically_increasing_id()))
-    ranks = settle(words.join(dictionary, "word").selectExpr("b", "0 AS kind", "i", "v", "CAST(NULL AS BINARY) AS payload"))
-    suffixes = settle(buckets.each_with(rows, ranks, lambda b, t, got: _Suffixes(t, got).rows(b), "b int, i int, ranks array<long>, n long"))
-    told = suffixes.select("b", "i", "ranks").join(recurring(suffixes, partitions), "ranks").where("v > 0")
-    marks = settle(ranks.unionByName(told.selectExpr("b", "1 AS kind", "i", "v", "CAST(NULL AS BINARY) AS payload")))
-    groups = buckets.exchange(buckets.each_with(rows, marks, lambda b, t, got: _send_groups(t, b, got, n), buckets.SENT), _mixed)
-    marks = marks.unionByName(groups.selectExpr("b", "2 AS kind", "part AS i", "CAST(NULL AS LONG) AS v", "payload"))
-    sent = buckets.each_with(rows, marks, lambda b, t, got: _send_windows(t, b, got, n), buckets.SENT)
-    windows = buckets.exchange(sent, lambda ps: _twice(ps, 2))
-    known = marks.unionByName(windows.selectExpr("b", "3 AS kind", "part AS i", "CAST(NULL AS LONG) AS v", "payload"))
+    partitions = min(PARTITIONS, max(1, -(-total // (64 << 20))))
+    send = lambda work, more: buckets.each_with(rows, more, work, buckets.SENT)
+    back = lambda df, kind: df.selectExpr("b", f"{kind} AS kind", "part AS i", "CAST(NULL AS LONG) AS v", "payload")
+    place = lambda df, kind: df.selectExpr("b", f"{kind} AS kind", "i", "v", "CAST(NULL AS BINARY) AS payload")
+
+    names = buckets.exchange(buckets.each(rows, lambda b, t: _send_names(t, b, n), buckets.SENT), _twice)
+    words = buckets.each_with(rows, names, lambda b, t, got: _words(t, b, got), "b int, i int, word binary")
+    # a phrase has a place at most once a bucket
+    dictionary = words.groupBy("word").agg(F.collect_list(F.struct("b", "i")).alias("at")).repartitionByRange(partitions, "word").sortWithinPartitions("word")
+    ranked = dictionary.withColumn("v", F.monotonically_increasing_id())
+    ranks = settle(place(ranked.select("v", F.explode("at").alias("x")).select("x.b", "x.i", "v"), RANKS))
+    suffixes = buckets.each_with(rows, ranks, lambda b, t, got: _Suffixes(t, got).rows(b), "b int, i int, ranks binary, n long")
+    told = ranks.unionByName(place(recurring(suffixes, partitions), SUFFIXES))
+    sent = settle(send(lambda b, t, got: _send_groups(t, b, got, n), told))
+    counts = back(sent.where("owner = -1").withColumnRenamed("owner", "part"), COUNTS)
+    known = counts.unionByName(back(buckets.exchange(sent.where("owner >= 0"), _mixed), GROUPS))
+    windows = buckets.exchange(send(lambda b, t, got: _send_windows(t, b, got, n), known), lambda ps: _twice(ps, more=True))
+    known = known.unionByName(back(windows, WINDOWS))
 
     def finish(b: int, table: pa.Table, got: pa.Table) -> pa.Table:
-        state = _Marked(table, got)
-        starts_of = list(state.open(_told(got, 2)))
+        state = _Marked(_unpacked(table, got))
+        starts_of = list(state.open(_told(got, GROUPS)))
         keys = [p.keys(starts) for (p, _), starts in zip(state.slices, starts_of)]
-        twice = spread(_told(got, 3), *classes(_cat(k[0] for k in keys), _cat(k[1] for k in keys)))
+        twice = spread(_told(got, WINDOWS), *classes(_cat(k[0] for k in keys), _cat(k[1] for k in keys)))
         cuts = np.concatenate([[0], np.cumsum([len(x) for x in starts_of])]).astype(np.int64)
         out = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "longest_run": [], "kept": []}
         for (p, count), starts, lo, hi in zip(state.slices, starts_of, cuts, cuts[1:]):
