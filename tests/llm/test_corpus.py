@@ -344,33 +344,52 @@ def test_lm(spark, docs, empty):
 def test_attention_is_a_distribution_and_its_gradient_is_right():
     g = np.random.default_rng(0)
     v = 64
-    base, p = attention.Bigram.of(g.random((v, v)) * 10), attention.fresh(v)
+    base, p = attention.Counts.of((g.random((v * attention.HASHES, v)) * 10).astype(np.float32)), attention.fresh(v)
     p["c"] += g.normal(0, 0.3, p["c"].shape).astype(np.float32)
-    p["o"] += g.normal(0, 0.3, p["o"].shape).astype(np.float32)
     score, head = attention.Scorer(p, base), g.integers(0, v, 5)
+    context = lambda ids: ids * attention.HASHES + ids % 3
     streams = np.concatenate([np.append(head, x) for x in range(v)])
-    off = np.arange(v + 1) * 6
-    with_next, alone = score(streams, off), score(head, np.array([0, 5]))
+    with_next, alone = score(streams, context(streams), np.arange(v + 1) * 6), score(head, context(head), np.array([0, 5]))
     assert (10 ** (with_next - alone)).sum() == pytest.approx(1, abs=1e-4)
     x = g.integers(0, v, (3, attention.WINDOW + 1))
-    _, grad = attention.gradient(p, base, x)
-    for name, at in (("c", (1, 3)), ("o", (int(x[0, 4]), 2)), ("rel", (1,)), ("u", (int(x[0, 3]), 1))):
+    _, grad = attention.gradient(p, base, x, context(x[:, :-1]))
+    token, d = int(x[0, 4]), attention.DIM
+    for name, at in (("c", (1, 3)), ("rel", (1,)), *(("e", (token, k * d + 2)) for k in range(4))):
         old, e = p[name][at], 1e-2
         p[name][at] = old + e
-        up = attention.gradient(p, base, x)[0]
+        up = attention.gradient(p, base, x, context(x[:, :-1]))[0]
         p[name][at] = old - e
-        down = attention.gradient(p, base, x)[0]
+        down = attention.gradient(p, base, x, context(x[:, :-1]))[0]
         p[name][at] = old
         assert (up - down) / (2 * e) == pytest.approx(float(grad[name][at]), abs=2e-3)
 
 
-def test_scores_do_not_depend_on_neighbours():
+def test_scores_do_not_depend_on_neighbours_and_equal_a_plain_forward_pass():
     g = np.random.default_rng(3)
-    score = attention.Scorer(attention.fresh(64), attention.Bigram.of(g.random((64, 64))))
-    streams = [g.integers(0, 64, n) for n in (2, 1, 50, 9, 17, 33)]
+    v = 64
+    p, base = attention.fresh(v), attention.Counts.of(g.random((v * attention.HASHES, v)).astype(np.float32))
+    p["c"] += g.normal(0, 0.3, p["c"].shape).astype(np.float32)
+    p["rel"] += g.normal(0, 0.3, p["rel"].shape).astype(np.float32)
+    score = attention.Scorer(p, base)
+    streams = [g.integers(0, v, n) for n in (2, 1, 50, 9, 17, 33)]
+    contexts = [s * attention.HASHES + g.integers(0, attention.HASHES, len(s)) for s in streams]
     off = np.concatenate([[0], np.cumsum([len(s) for s in streams])])
-    together = score(np.concatenate(streams), off)
-    assert together == pytest.approx([score(s, np.array([0, len(s)]))[0] for s in streams], abs=1e-5)
+    together = score(np.concatenate(streams), np.concatenate(contexts), off)
+    q, k, val, u = np.split(p["e"].astype(float), 4, axis=1)
+
+    def plain(s, c):
+        """Subword by subword; each sees back to eight before its stride."""
+        total = 0.0
+        for i in range(len(s) - 1):
+            seen = range(max(0, i // attention.STRIDE * attention.STRIDE - attention.OVERLAP), i + 1)
+            logit = np.array([q[s[i]] @ k[s[j]] / attention.DIM**0.5 + p["rel"][i - j] for j in seen])
+            a = np.exp(logit) / np.exp(logit).sum()
+            h = sum(w * val[s[j]] for w, j in zip(a, seen)) + u[s[i]]
+            z = base.of_class[c[i]] + p["c"] @ (h / (1 + np.abs(h)))
+            total += z[s[i + 1] // attention.CLASS] - np.log(np.exp(z).sum()) + base.within[c[i], s[i + 1]]
+        return total / np.log(10)
+
+    assert together == pytest.approx([plain(s, c) for s, c in zip(streams, contexts)], abs=1e-4)
 
 
 def test_quality(spark):
