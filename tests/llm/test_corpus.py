@@ -343,7 +343,7 @@ def test_lm(spark, docs, empty):
 
 def test_attention_is_a_distribution_and_its_gradient_is_right():
     g = np.random.default_rng(0)
-    v = 64
+    v = 128
     base, p = attention.Counts.of((g.random((v * attention.HASHES, v)) * 10).astype(np.float32)), attention.fresh(v)
     p["c"] += g.normal(0, 0.3, p["c"].shape).astype(np.float32)
     score, head = attention.Scorer(p, base), g.integers(0, v, 5)
@@ -366,7 +366,7 @@ def test_attention_is_a_distribution_and_its_gradient_is_right():
 
 def test_scores_do_not_depend_on_neighbours_and_equal_a_plain_forward_pass():
     g = np.random.default_rng(3)
-    v = 64
+    v = 128
     p, base = attention.fresh(v), attention.Counts.of(g.random((v * attention.HASHES, v)).astype(np.float32))
     p["c"] += g.normal(0, 0.3, p["c"].shape).astype(np.float32)
     p["rel"] += g.normal(0, 0.3, p["rel"].shape).astype(np.float32)
