@@ -4,7 +4,7 @@ For each distinct pre-token, greedy longest-match proposes tokens. A proposal
 is the BPE encoding if each token is its own encoding and no merge crosses any
 boundary between neighbours; whether a pair of tokens is compatible in that
 sense is tested for all adjacent pairs of a batch at once. Only pre-tokens that
-fail are merged exactly, rank by rank. Results are kept for the distinct
+fail are merged exactly, rank by rank, all of a batch side by side. Results are kept for the distinct
 pre-tokens seen last, up to a bound.
 
 The vocabulary file (JSON of a byte-level BPE) is a parameter and must be at
@@ -20,7 +20,6 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 
 from . import batches, pretokens
@@ -70,9 +69,8 @@ class Vocabulary:
         self._spines: dict[tuple[int, bool], list[tuple[int, int]]] = {}
         self._whole: dict[int, bool] = {}
         self.pairs: dict[int, bool] = {}
-        order = [self.ids[bytes([i])] for i in range(256)] + [t for t in np.argsort(own, kind="stable").tolist() if own[t] < NEVER]
-        self.by_rank = order
-        self.merger = tiktoken.Encoding("merging", pat_str="(?s:.+)", mergeable_ranks={self.pieces[t]: r for r, t in enumerate(order)}, special_tokens={})
+        self.byte = np.array([self.ids[bytes([i])] for i in range(256)])
+        self.targets = np.array(list(self.made.values()), dtype=np.int64)[order]
 
     def exact(self, word: bytes) -> list[int]:
         """BPE proper: the lowest rank merges first, and of equal ranks the leftmost."""
@@ -94,11 +92,63 @@ class Vocabulary:
                 ranks[i] = rank.get((ids[i], ids[i + 1]), NEVER)
         return ids
 
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Places of pairs among the merges by code, -1 where there is none."""
+        code = a << 32 | b
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, at, -1)
+
     def merged(self, words: list[bytes]) -> list[list[int]]:
-        """exact() of many words: merged by rank in a compiled library, whose result stands where it passes the same test."""
-        out = [[self.by_rank[r] for r in self.merger.encode_ordinary(w.decode())] for w in words]
-        good = self.verified(out)
-        return [p if ok and b"".join(map(self.pieces.__getitem__, p)) == w else self.exact(w) for w, p, ok in zip(words, out, good.tolist())]
+        """exact() of many words at once.
+
+        In each step every word merges its pair of lowest rank, at all places from the left that do not overlap: pairs
+        that a merge makes have higher ranks, so these places would come next anyway.
+        """
+        out: list[list[int]] = [[]] * len(words)
+        long = [i for i, w in enumerate(words) if len(w) > 256]
+        for i in long:
+            out[i] = self.exact(words[i])
+        which = np.array([i for i, w in enumerate(words) if 0 < len(w) <= 256], dtype=np.int64)
+        if not len(which):
+            return out
+        size = np.array([len(words[i]) for i in which.tolist()], dtype=np.int64)
+        ids = self.byte[np.frombuffer(b"".join(words[i] for i in which.tolist()), np.uint8)]
+        of = np.repeat(np.arange(len(which)), size)
+        place = np.append(self._ranks(ids[:-1], ids[1:]), -1)
+        place[np.append(np.flatnonzero(of[1:] != of[:-1]), len(of) - 1)] = -1
+        while True:
+            rank = np.where(place >= 0, self.ranks[place], NEVER)
+            begin = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            least = np.minimum.reduceat(rank, begin)
+            done = least == NEVER
+            if done.any():  # finished words leave
+                ends = np.append(begin[1:], len(of))
+                flat = ids.tolist()
+                for w, lo, hi in zip(of[begin[done]].tolist(), begin[done].tolist(), ends[done].tolist()):
+                    out[int(which[w])] = flat[lo:hi]
+                keep = np.repeat(~done, ends - begin)
+                ids, of, place, rank = ids[keep], of[keep], place[keep], rank[keep]
+                if not len(ids):
+                    return out
+                least, size = least[~done], (ends - begin)[~done]
+            else:
+                size = np.diff(np.append(begin, len(of)))
+            hit = rank == np.repeat(least, size)
+            at = np.flatnonzero(hit)
+            # of runs of places that overlap, every other one from the left
+            new = np.append(True, np.diff(at) > 1)
+            first = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            ids[at] = self.targets[place[at]]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            moved = np.cumsum(keep)[at] - 1
+            ids, of, place = ids[keep], of[keep], place[keep]
+            redo = np.unique(np.concatenate([moved, moved[moved > 0] - 1]))
+            redo = redo[redo < len(ids) - 1]
+            fresh = np.where(of[redo] == of[redo + 1], self._ranks(ids[redo], ids[redo + 1]), -1)
+            place[redo] = fresh
+            place[-1] = -1
 
     def verified(self, proposals: list[list[int]]) -> np.ndarray:
         """Which proposals are encodings: all their tokens are whole, and all pairs of neighbours are compatible."""

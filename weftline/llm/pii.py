@@ -1,10 +1,13 @@
 """Personal data: patterns, and a semi-Markov conditional random field over whole spans.
 
-The base spans are exact pattern matches. Around digits and at-signs the text
-is also cut into tokens, and a semi-Markov CRF scores every candidate segment
-of up to ``MAX_TOKENS`` tokens for every type by features of the whole span;
-dynamic programming over segments chooses boundaries and types jointly. Its
-spans are added where they do not overlap a base span; base spans always stay.
+The base spans are exact pattern matches. The text is also cut into tokens, and
+a semi-Markov CRF scores every candidate segment of up to ``MAX_TOKENS`` tokens
+for every type by features of the whole span; dynamic programming over segments
+chooses boundaries and types jointly. Its spans are added where they do not
+overlap a base span; base spans always stay. Tokens far from anything that can
+raise a segment's score above 0 are passed over: ``bound`` proves of the
+trained weights that no segment there could be chosen, so that this changes no
+result, and without that proof all tokens are scored.
 
 The CRF is trained in numpy by gradient ascent on generated, labelled lines
 (fixed seed), since no labelled spans exist; the training set has a fixed size.
@@ -15,6 +18,7 @@ treated row by row. Positions are code points, ends exclusive.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import random
@@ -84,11 +88,10 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the semi-Markov CRF ----
 
-MAX_TOKENS, AROUND = 14, 48
+MAX_TOKENS, CUE_TOKENS = 14, 3
 #: Tokens whose features are held at a time; scores do not depend on it.
 SLICE_TOKENS = 1024
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_TRIGGER = re.compile(r"[0-9@]")
 _CUES = {  # fixed values: words that announce a kind
     0: {"mail", "email", "contact", "write"}, 1: {"ip", "host", "server", "address"}, 2: {"card", "visa", "credit"},
     3: {"phone", "call", "tel", "mobile"}, 4: {"token", "key", "secret", "password", "api"},
@@ -105,7 +108,7 @@ def _span_features(toks: list[tuple[int, int]], text: str, i: int, j: int) -> np
     digits = sum(c.isdigit() for c in span)
     packed = span.replace(" ", "").replace("-", "")
     groups = span.split(".")
-    before = {text[a:b].lower() for a, b in toks[max(0, i - 3) : i]}
+    before = {text[a:b].lower() for a, b in toks[max(0, i - CUE_TOKENS) : i]}
     quoted = i > 0 and text[toks[i - 1][0]] in "\"'" and j < len(toks) and text[toks[j][0]] in "\"'"
     joined = (i > 0 and toks[i - 1][1] == s) or (j < len(toks) and toks[j][0] == e and not text[e] in ".,;:!?)\"'%&$*#|")
     at = span.count("@")
@@ -269,31 +272,37 @@ def train(examples: int = 220, epochs: int = 6, seed: int = 5) -> np.ndarray:
     return w
 
 
-_WORD = re.compile(r"\w*")
+#: What a segment must hold for one of the features 1 to 9 to be true; and the cue words.
+_STRONG = re.compile(r"[@+]|[0-9a-f]{16}|[A-Z]{4}[A-Z0-9]{12}|(?:[0-9][\x20().-]*+){9}|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]")
+_CUE = re.compile(r"\b(?:" + "|".join(sorted(set.union(*_CUES.values()))) + r")\b", re.I)
 
 
-def _regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at-signs, apart from each other; no word runs over an end of one."""
-    near: list[list[int]] = []
-    for m in _TRIGGER.finditer(text):
-        lo, hi = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
-        if near and lo <= near[-1][1]:
-            near[-1][1] = hi
-        else:
-            near.append([lo, hi])
+def bound(weights: np.ndarray) -> float:
+    """No segment without a strong match and without a cue word before it scores above this."""
+    w = weights
+    free = w[0] + np.maximum(w[[10, 11, 14, 15]], 0).sum(0) + np.maximum(0, np.maximum(w[12], w[13]))
+    return float((free + np.maximum(w[16] / MAX_TOKENS, w[16])).max())
+
+
+def _regions(text: str, toks: list[tuple[int, int]], weights: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of tokens outside which no segment can score above 0, apart from each other."""
+    if not _bounded(weights.tobytes()):
+        return [(0, len(toks))]
+    starts, ends = [a for a, _ in toks], [b for _, b in toks]
     out: list[list[int]] = []
-    for lo, hi in near:
-        done = out[-1][1] if out else 0
-        if _WORD.match(text, lo).end() > lo:
-            while lo > done and _WORD.match(text, lo - 1, lo).end() == lo:
-                lo -= 1
-        if _WORD.match(text, hi - 1, hi).end() == hi:
-            hi = _WORD.match(text, hi).end()
-        if out and lo <= done:
-            out[-1][1] = max(done, hi)
+    for found in sorted([m.span() for m in _STRONG.finditer(text)] + [m.span() for m in _CUE.finditer(text)]):
+        lo = max(0, bisect.bisect_right(ends, found[0]) - MAX_TOKENS - CUE_TOKENS)
+        hi = min(len(toks), bisect.bisect_left(starts, found[1]) + MAX_TOKENS + CUE_TOKENS + 1)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
         else:
             out.append([lo, hi])
-    return [tuple(x) for x in out]
+    return [(lo, hi) for lo, hi in out]
+
+
+@functools.lru_cache(maxsize=4)
+def _bounded(raw: bytes) -> bool:
+    return bound(np.frombuffer(raw).reshape(N_FEATURES, len(KINDS))) <= 0
 
 
 def _all_scores(text: str, toks: list[tuple[int, int]], weights: np.ndarray) -> np.ndarray:
@@ -305,25 +314,13 @@ def _all_scores(text: str, toks: list[tuple[int, int]], weights: np.ndarray) ->
     return np.concatenate(out)
 
 
-def _worth(feats_of_text: str) -> bool:
-    return bool(_PLAUSIBLE.search(feats_of_text))
-
-
-#: What a region must hold for any segment of it to have a feature that speaks for an entity.
-_PLAUSIBLE = re.compile(r"@|[0-9a-f]{16}|[A-Z]{4}[A-Z0-9]{12}|[0-9](?:[\x20().-]{0,2}[0-9]){6}|[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
-
-
 def added_spans(text: str, weights: np.ndarray, base: list[Span]) -> list[Span]:
+    toks = [(m.start(), m.end()) for m in _TOKEN.finditer(text)]
     out = []
-    for lo, hi in _regions(text):
-        part = text[lo:hi]
-        if not _worth(part):
-            continue
-        toks = [(m.start(), m.end()) for m in _TOKEN.finditer(part)]
-        if not toks:
-            continue
-        for i, k, y in viterbi(_all_scores(part, toks, weights)):
-            s, e = lo + toks[i][0], lo + toks[i + k - 1][1]
+    for lo, hi in _regions(text, toks, weights):
+        part = toks[lo:hi]
+        for i, k, y in viterbi(_all_scores(text, part, weights)) if part else ():
+            s, e = part[i][0], part[i + k - 1][1]
             if all(e <= a or s >= b for a, b, _ in base):
                 out.append((s, e, y))
     return out
@@ -332,7 +329,7 @@ def added_spans(text: str, weights: np.ndarray, base: list[Span]) -> list[Span]:
 def find(text: str, weights: np.ndarray) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), both ordered by start and then by kind."""
     base = base_spans(text)
-    if not _TRIGGER.search(text):
+    if _bounded(weights.tobytes()) and not _STRONG.search(text) and not _CUE.search(text):
         return base, base
     return base, sorted([*base, *added_spans(text, weights, base)], key=lambda s: (s[0], s[2], s[1]))
 

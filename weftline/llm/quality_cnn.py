@@ -4,10 +4,9 @@ Learned filters of six bytes slide over overlapping 512-byte chunks that cover
 the whole document. Each chunk is max-pooled; the maximum and the mean over
 the chunks feed a logistic unit, which gives one probability.
 
-Training reads a bounded sample of labelled rows (``sample_rows``, and of each
-at most ``sample_chunks`` chunks spread evenly over the document), because a
-few thousand documents fix its few thousand weights; scoring reads all bytes
-of all documents.
+Training reads the whole texts of a bounded sample of labelled rows
+(``sample_rows`` rows, ``sample_bytes`` of text), because a few thousand
+documents fix its few thousand weights; scoring reads all bytes of all documents.
 
 Nulls: a null text is scored as an empty one; rows of ``labels`` with a null
 id or label are ignored; several labels of one id count as their minimum.
@@ -34,9 +33,9 @@ CHUNK, WIDTH = 512, 6
 class Settings:
     filters: int = 16
     embedding: int = 8
-    sample_rows: int = 6000
-    sample_chunks: int = 8
-    epochs: int = 5
+    sample_rows: int = 4000
+    sample_bytes: int = 48 << 20
+    epochs: int = 4
     least_steps: int = 200  # small samples are gone through more often
     batch: int = 64
     rate: float = 0.01
@@ -166,29 +165,29 @@ class Scorer:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, s: Settings, folds: int = 5) -> tuple[list[bytes], np.ndarray]:
-    """At most ``sample_rows`` labelled rows outside the held-out fold, in the order of a hash of their id."""
+    """Whole texts and labels of at most ``sample_rows`` labelled rows outside the held-out fold, in the order of a hash of id and text.
+
+    A row that would pass ``sample_bytes`` ends the sample. Rows of a repeated id count as rows, not ids.
+    """
     known = (
         labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("label"))
         .where(~batches.held_out(F.col("doc_id"), folds))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.sample_rows)
     )
-    chosen = batches.id_and_text(docs).join(F.broadcast(known), "doc_id")  # known: sample_rows rows of two numbers at most
-    size = s.sample_chunks * CHUNK
-
-    def crop(it):
-        for batch in it:
-            texts = []
-            for t in batch.column("text").to_pylist():
-                raw = t.encode()
-                if len(raw) > size:
-                    starts = np.linspace(0, len(raw) - CHUNK, s.sample_chunks).astype(int)
-                    raw = b"".join(raw[i : i + CHUNK] for i in starts)
-                texts.append(raw)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(texts, pa.binary())], ["doc_id", "label", "text"])
-
-    rows = sorted(chosen.mapInArrow(crop, "doc_id long, label int, text binary").collect())
-    return [bytes(r["text"]) for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)
+    # known: sample_rows rows of two numbers at most; sizes first, so that no text comes to the driver that is not used
+    rows = batches.id_and_text(docs).join(F.broadcast(known), "doc_id").withColumn("h", F.xxhash64("doc_id", "text"))
+    sizes = rows.select("h", F.octet_length("text").alias("n")).orderBy("h").limit(s.sample_rows).collect()
+    total, most = 0, None
+    for r in sizes:
+        total += r["n"]
+        if total > s.sample_bytes:
+            break
+        most = r["h"]
+    if most is None:
+        return [], np.zeros(0, np.int64)
+    got = rows.where(F.col("h") <= most).orderBy("h").limit(s.sample_rows).select("label", F.col("text").cast("binary").alias("text")).collect()
+    return [bytes(r["text"]) for r in got], np.array([r["label"] for r in got], dtype=np.int64)
 
 
 def fit(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> Model:

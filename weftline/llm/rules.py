@@ -4,8 +4,9 @@ Base counts come from white-space words. The method's verdict compares two
 histograms of a document, its character classes and its common words, with the
 reference of its language by Jensen-Shannon distance (base 2, 0 to 1). The
 references are means over all documents of the language that pass the base
-rules; languages under ``min_documents`` use the mean over all languages.
-Documents under the minimum length are not judged by a histogram.
+rules; a language without any uses the mean over all languages. Documents under
+the minimum length are not judged by a histogram. References are a table of one
+row a language, joined to the documents, so there may be any number of languages.
 
 Nulls: a null text has no words; a null language is a language of its own.
 Rows with a repeated id are judged row by row.
@@ -55,8 +56,6 @@ class Settings:
     max_word_distance: float = 0.60
     min_chars: int = 200
     min_judged_words: int = 100
-    min_documents: int = 20
-    max_languages: int = 1000
 
 
 def _per_doc(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -180,46 +179,53 @@ def _matrix(column, k: int) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, k)
 
 
-def references(rows: DataFrame, s: Settings) -> dict[str | None, np.ndarray]:
-    """The mean normalised histograms by language (at most max_languages, the most frequent) and over all (None)."""
-    width = N_CLASSES + len(COMMON) + 1
+WIDTH = N_CLASSES + len(COMMON) + 1
+
+
+def references(rows: DataFrame, s: Settings) -> tuple[DataFrame, list[float]]:
+    """(lang and ref, the mean normalised histograms, of each language; the same over all). Each task gives one row a language and bin."""
 
     def partial(it):
         sums: dict[str, np.ndarray] = {}
+
+        def flush():
+            for lang, v in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([v], pa.list_(pa.float64()))], ["lang", "v"])
+            sums.clear()
+
         for batch in it:
             h = [_matrix(batch.column(c), k) for c, k in (("chars", N_CLASSES), ("words", len(COMMON) + 1))]
             h = np.hstack([x / np.maximum(x.sum(1, keepdims=True), 1) for x in h] + [np.ones((batch.num_rows, 1))])
             langs, of = np.unique(np.asarray(batch.column("lang")).astype(str), return_inverse=True)
             for i, lang in enumerate(langs.tolist()):
                 sums[lang] = sums.get(lang, 0) + h[of == i].sum(0)
-        for lang, v in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (width + 1)), pa.array(range(width + 1), pa.int32()), pa.array(v)], ["lang", "bin", "v"]
-            )
+            if len(sums) > 4096:  # bounds what a task holds; sums of one language are added below
+                yield from flush()
+        yield from flush()
 
-    sums = rows.where(~base_failed(s)).select("lang", "chars", "words").mapInArrow(partial, "lang string, bin int, v double")
-    table = sums.groupBy("lang", "bin").agg(F.sum("v").alias("v"))
-    every = table.groupBy("bin").agg(F.sum("v").alias("v")).collect()
-    frequent = table.where((F.col("bin") == width) & (F.col("v") >= s.min_documents)).orderBy(F.desc("v"), "lang").limit(s.max_languages)
-    found = table.join(F.broadcast(frequent.select("lang")), "lang").collect()  # max_languages rows at most
-    out: dict[str | None, np.ndarray] = {}
-    for lang, b, v in [(None, r["bin"], r["v"]) for r in every] + [(r["lang"], r["bin"], r["v"]) for r in found]:
-        out.setdefault(lang, np.zeros(width + 1))[b] = v
-    return {k: v[:-1] / max(v[-1], 1) for k, v in out.items()}
+    sums = rows.where(~base_failed(s)).select("lang", "chars", "words").mapInArrow(partial, "lang string, v array<double>")
+    at = [F.sum(F.get("v", F.lit(i))).alias(f"v{i}") for i in range(WIDTH + 1)]
+    table = sums.groupBy("lang").agg(*at)
+    mean = F.array(*[F.col(f"v{i}") / F.greatest(F.col(f"v{WIDTH}"), F.lit(1.0)) for i in range(WIDTH)])
+    every = table.agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(WIDTH + 1)]).select(mean.alias("ref")).first()["ref"]
+    return table.select("lang", mean.alias("ref")), [0.0 if x is None else x for x in every]
 
 
 def judge(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, the counts, base_failed, both distances and kept, for every row of docs."""
+    """doc_id, the counts, base_failed, both distances and kept, for every row of docs. An empty table gives none."""
     s = settings or Settings()
     rows = settle(features(docs, s))
-    refs = references(rows, s)
+    refs, every = references(rows, s)
+    spare = np.array(every)
 
     def run(it):
         for batch in it:
             if not batch.num_rows:
                 continue
-            langs = batch.column("lang").to_pylist()
-            ref = np.array([refs[x] if x in refs else refs.get(None, np.zeros(N_CLASSES + len(COMMON) + 1)) for x in langs])
+            column = batch.column("ref")
+            there = np.asarray(column.is_valid())
+            ref = np.tile(spare, (batch.num_rows, 1))
+            ref[there] = np.asarray(column.drop_null().flatten(), dtype=np.float64).reshape(-1, WIDTH)
             dc = js_distance(_matrix(batch.column("chars"), N_CLASSES), ref[:, :N_CLASSES])
             dw = js_distance(_matrix(batch.column("words"), len(COMMON) + 1), ref[:, N_CLASSES:])
             blank = ref.sum(1) == 0
@@ -228,7 +234,8 @@ def judge(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
                 [batch.column(c) for c in ("doc_id", *_COUNTS)] + [pa.array(dc), pa.array(dw)], ["doc_id", *_COUNTS, "class_distance", "word_distance"]
             )
 
-    judged = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", class_distance double, word_distance double")
+    # a few languages hold most rows: the join is broadcast where Spark finds the references small, and else split by adaptive execution
+    judged = rows.join(refs, "lang", "left").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", class_distance double, word_distance double")
     odd = ((F.col("word_chars") >= s.min_chars) & (F.col("class_distance") > s.max_class_distance)) | (
         (F.col("n_words") >= s.min_judged_words) & (F.col("word_distance") > s.max_word_distance)
     )

@@ -69,16 +69,17 @@ def fingerprints_of(texts: list[str], size: int = 3, seed: int = SEED) -> np.nda
 
 
 def fingerprints(docs: DataFrame, size: int = 3, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (signed 64 bits) of every row of docs."""
+    """doc_id, fp (signed 64 bits) and text_hash of every row of docs."""
 
     def make():
         def work(batch):
             fp = fingerprints_of(batch.column("text").to_pylist(), size, seed)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp), batch.column("text_hash")], ["doc_id", "fp", "text_hash"])
 
         return work
 
-    return batches.id_and_text(docs).mapInArrow(batches.each_slice(make), "doc_id long, fp long")
+    rows = batches.id_and_text(docs).withColumn("text_hash", F.xxhash64("text"))
+    return rows.mapInArrow(batches.each_slice(make), "doc_id long, fp long, text_hash long")
 
 
 def embedding(fp):
@@ -184,22 +185,33 @@ def links(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(links_in_cells, "a long, b long").distinct()
 
 
+def _rooted(rows: DataFrame) -> DataFrame:
+    """fp and root (one fingerprint for all that links reach) of the distinct fingerprints of rows."""
+    distinct = rows.select("fp").distinct()
+    roots = components(links(distinct)).withColumnRenamed("node", "fp")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id (the smallest id that links reach) of every row of docs."""
     rows = settle(fingerprints(docs))
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(distinct.select("fp")))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return rows.join(rooted.select("fp", "root").join(least, "root").select("fp", "component_id"), "fp")
+    rooted = _rooted(rows)
+    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    least = rooted.join(first, "fp").groupBy("root").agg(F.min("first").alias("component_id"))
+    return rows.select("doc_id", "fp").join(rooted.join(least, "root").select("fp", "component_id"), "fp")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component of docs: that of the smallest id, and of its rows the first by a hash of the text.
+    """One row of each component of docs, unchanged: that of the smallest id, and of rows of one id the first by a hash of the text.
 
-    Rows without an id are kept as they are.
+    Rows are told apart by id and text, so texts of one id in different components all keep their rows; a null id is
+    larger than any other. Of rows equal in both, one stays, whatever their other columns. An empty table gives none.
     """
-    near = near_duplicates(docs.where(F.col("doc_id").isNotNull()))
-    first = near.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["__keep"], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))
+    rows = settle(fingerprints(docs))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    of_fp = rows.groupBy("fp").agg(F.min(row).alias("row"))  # first by fingerprint, so that a large group is one row
+    first = _rooted(rows).join(of_fp, "fp").groupBy("root").agg(F.min("row").alias("row"))
+    keep = first.select(F.col("row.doc_id").alias("__id"), F.col("row.text_hash").alias("__hash"))
+    own = docs.withColumn("__own_hash", F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))).withColumn("__own_id", docs["doc_id"].cast("long"))
+    kept = own.join(keep, own["__own_id"].eqNullSafe(keep["__id"]) & (own["__own_hash"] == keep["__hash"]), "left_semi")
+    return kept.dropDuplicates(["__own_id", "__own_hash"]).drop("__own_id", "__own_hash")
