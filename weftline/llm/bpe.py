@@ -333,6 +333,13 @@ class Codec:
         back = back.tolist()
         return [[t for i in back[lo:hi] for t in rows[i]] for lo, hi in zip(first[:-1].tolist(), first[1:].tolist())]
 
+    def counts(self, texts: list[str]) -> list[int]:
+        """The number of tokens of each text."""
+        rows, back, first = self.encoded(pa.array(texts, pa.string()))
+        size = np.array([len(r) for r in rows], dtype=np.int64)
+        total = np.concatenate([[0], np.cumsum(size[back])]) if len(back) else np.zeros(1, np.int64)
+        return np.diff(total[first]).tolist()
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(self.v.pieces[t] for t in ids).decode(errors="replace")
 

@@ -5,10 +5,13 @@ in a role or text are doubled, and one is put into each control string in it
 (``<s>``, ``</s>``, ``[INST]``, ``[/INST]``, and a line feed in a role), so that
 texts cannot end or open a turn and are read back exactly.
 
-Prefix sums of the turns' token counts choose the windows: each takes the next
-new turns while they fit into ``budget`` (one at least; a turn is never cut),
-after the system turn, if the conversation begins with one, and as many of the
-latest earlier turns as fit into ``history``. Repeated turns are context: only
+A turn's size is its number of tokens as written, by the vocabulary at ``path``.
+Prefix sums of the sizes, searched for the budget, choose the windows: each takes
+all next new turns that fit into ``budget`` besides the system turn, if the
+conversation begins with one, and the latest earlier turns that fit into
+``history``. History gives way first and the system turn next where one new turn
+needs their room; a turn is never cut, so one that alone is over the budget stands
+alone and is the only case of a window over it. Repeated turns are context: only
 the texts of new assistant turns are under the loss mask, each exactly once.
 
 A task holds one conversation's system turn, history and current window only,
@@ -19,9 +22,9 @@ with a null conv_id form one conversation of their own.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
-from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
+
 OPEN, CLOSE, TARGET, SYSTEM = "<s>", "</s>", "assistant", "system"
 _CONTROL = re.compile(r"<(?=/?s>)|\[(?=/?INST\])")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 _TURN = re.compile(r"<s>((?:[^\\\n]|\\.)*)\n(.*?)</s>", re.S)
-_PIECE = re.compile(r"\w+|[^\w\s]")
 
 
 @dataclass
@@ -59,52 +63,62 @@ def turns_in(formatted: str) -> list[tuple[str, str, int, int]]:
     return [(unescape(m[1]), unescape(m[2]), m.start(2), m.end(2)) for m in _TURN.finditer(formatted)]
 
 
-def n_tokens(role: str, text: str) -> int:
-    """The size of a turn: words and punctuation marks, and three for its marks."""
-    return len(_PIECE.findall(text)) + len(_PIECE.findall(role)) + 3
+@dataclass
+class Turn:
+    role: str
+    text: str  # as written, with marks
+    body: int  # characters of the escaped text in it
+    size: int
+
+
+def turn(role: str, text: str, size: int) -> Turn:
+    return Turn(role, written(role, text), len(escape(text)), size)
 
 
-def windows(turns: Iterator[tuple[str, str]], s: Settings) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
+def windows(turns: Iterator[Turn], s: Settings) -> Iterator[tuple[str, int, list[tuple[int, int]]]]:
     """(formatted text, number of leading context turns, loss spans) of each window of one conversation."""
-    system: tuple[str, str] | None = None
-    past: deque[tuple[str, str, int]] = deque()
-    past_size = 0
-    new: list[tuple[str, str, int]] = []
-    size, first = 0, True
-
-    def close():
-        nonlocal past_size
-        context = [(system[0], system[1])] if system and not first else []
-        context += [(r, t) for r, t, _ in past]
+    held: list[Turn] = []  # the turns that a window may still need
+    sums = [0]  # of the sizes of held turns before each
+    system: Turn | None = None
+    new, first, more = 0, True, True
+
+    def fill(upto: int):
+        nonlocal more
+        while more and sums[-1] <= upto:
+            got = next(turns, None)
+            if got is None:
+                more = False
+            else:
+                held.append(got)
+                sums.append(sums[-1] + got.size)
+
+    fill(0)
+    if held and held[0].role == SYSTEM:
+        system = held[0]
+    while True:
+        fill(sums[new])
+        if new == len(held):
+            return
+        own = held[new].size
+        kept = [system] if system and not first and system.size + own <= s.budget else []
+        room = s.budget - own - sum(x.size for x in kept)
+        start = bisect.bisect_left(sums, sums[new] - max(0, min(s.history, room)), 0, new + 1)
+        left = s.budget - sum(x.size for x in kept) - (sums[new] - sums[start])
+        fill(sums[new] + left)
+        end = max(new + 1, bisect.bisect_right(sums, sums[new] + left) - 1)
+        context = kept + held[start:new]
         out, spans, at = [], [], 0
-        for i, (role, text) in enumerate(context + [(r, t) for r, t, _ in new]):
-            piece = written(role, text)
-            if i >= len(context) and role == TARGET:
-                spans.append((at + len(piece) - len(CLOSE) - len(escape(text)), at + len(piece) - len(CLOSE)))
-            out.append(piece)
-            at += len(piece)
-        for turn in new:
-            if not (system and first and turn is new[0]):  # the system turn is retained, not repeated as history
-                past.append(turn)
-                past_size += turn[2]
-        while past and past_size > s.history:
-            past_size -= past.popleft()[2]
-        return "".join(out), len(context), spans
-
-    seen = 0
-    for role, text in turns:
-        n = n_tokens(role, text)
-        if seen == 0 and role == SYSTEM:
-            system = (role, text)
-        overhead = past_size + (n_tokens(*system) if system and not first else 0)
-        if new and overhead + size + n > s.budget:
-            yield close()
-            new, size, first = [], 0, False
-        new.append((role, text, n))
-        size += n
-        seen += 1
-    if new:
-        yield close()
+        for i, x in enumerate(context + held[new:end]):
+            if i >= len(context) and x.role == TARGET:
+                spans.append((at + len(x.text) - len(CLOSE) - x.body, at + len(x.text) - len(CLOSE)))
+            out.append(x.text)
+            at += len(x.text)
+        yield "".join(out), len(context), spans
+        # what is too far back for any history goes, and the system turn, which is not repeated as history
+        drop = max(bisect.bisect_left(sums, sums[end] - s.history, 0, end + 1), 1 if first and system else 0)
+        held, base = held[drop:], sums[drop]
+        sums = [x - base for x in sums[drop:]]
+        new, first = end - drop, False
 
 
 def _runs(it, columns: list[str]) -> Iterator[tuple[int | None, Iterator[tuple]]]:
@@ -148,7 +162,7 @@ def _emit(rows, fields: list[tuple[str, pa.DataType]], most: int = 256):
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
-def format_windows(conversations: DataFrame, settings: Settings | None = None) -> DataFrame:
+def format_windows(conversations: DataFrame, path: str, settings: Settings | None = None) -> DataFrame:
     """conv_id, window, text, n_context and loss (spans of code points) of every window.
 
     The rows of a conversation are together and in the order of its windows.
@@ -162,9 +176,15 @@ def format_windows(conversations: DataFrame, settings: Settings | None = None) -
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(it):
+        codec = bpe.codec(path)
+
+        def sized(batch: pa.RecordBatch) -> pa.RecordBatch:
+            pieces = [written(r, t) for r, t in zip(batch.column("role").to_pylist(), batch.column("text").to_pylist())]
+            return batch.append_column("size", pa.array(codec.counts(pieces), pa.int64()))
+
         def out():
-            for conv, turns in _runs(it, ["conv_id", "role", "text"]):
-                for i, (text, n, spans) in enumerate(windows(turns, s)):
+            for conv, turns in _runs(map(sized, it), ["conv_id", "role", "text", "size"]):
+                for i, (text, n, spans) in enumerate(windows((turn(*x) for x in turns), s)):
                     yield conv, i, text, n, [{"start": a, "end": b} for a, b in spans]
 
         yield from _emit(out(), [("conv_id", pa.int64()), ("window", pa.int64()), ("text", pa.string()), ("n_context", pa.int32()), ("loss", _SPAN)])

@@ -61,7 +61,7 @@ def extra_conversation(spark: SparkSession) -> DataFrame:
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.read_back(chat.format_windows(own.unionByName(extra_conversation(spark))))
+    return chat.read_back(chat.format_windows(own.unionByName(extra_conversation(spark)), tokenizer_path("byte_bpe_50k.json")))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
