@@ -87,18 +87,28 @@ class Measures:
     def __init__(self, expressions: dict[tuple[str, str], str], tables: dict[str, DataFrame] | None = None):
         self.expressions, self.frames = expressions, tables or {}
 
-    def translate(self, expression: str, open_: tuple = ()) -> tuple[Column, frozenset[str]]:
-        """(aggregate, tables it is over), or MeasureNotSupported."""
+    def translate(self, expression: str, open_: tuple = (), leaves: dict[str, tuple[str, Column]] | None = None) -> tuple[Column, frozenset[str]]:
+        """(value, tables it is over), or MeasureNotSupported.
+
+        The value is an aggregate; with ``leaves`` it is an expression over the aggregates that are added to it, by name with their table.
+        """
+
+        def leaf(table: str, value: Column) -> tuple[Column, frozenset[str]]:
+            if leaves is None:
+                return value, frozenset([table])
+            name = f"__leaf{len(leaves)}"
+            leaves[name] = (table, value.alias(name))
+            return F.col(name), frozenset([table])
+
         if m := _ONE.match(expression):
-            table = m[2] or m[3]
-            return _AGGREGATES[m[1].upper()](quoted(m[4].strip())), frozenset([table])
+            return leaf(m[2] or m[3], _AGGREGATES[m[1].upper()](quoted(m[4].strip())))
         if m := _ROWS.match(expression):
-            return F.count(F.lit(1)), frozenset([m[1] or m[2]])
+            return leaf(m[1] or m[2], F.count(F.lit(1)))
         if m := _DIVIDE.match(expression):
             args = arguments(m[1])
             if len(args) not in (2, 3):
                 raise MeasureNotSupported(f"DIVIDE takes two or three arguments: {expression!r}")
-            (a, ta), (b, tb), (c, tc) = (self.translate(x, open_) for x in (args[0], args[1], args[2] if len(args) == 3 else "0"))
+            (a, ta), (b, tb), (c, tc) = (self.translate(x, open_, leaves) for x in (args[0], args[1], args[2] if len(args) == 3 else "0"))
             b = b.cast("double")
             return F.when(b.isNull() | (b != 0), a.cast("double") / b).otherwise(c.cast("double")), ta | tb | tc
         if _NUMBER.match(expression):
@@ -111,7 +121,7 @@ class Measures:
                 raise MeasureNotSupported(f"no measure {expression.strip()}")
             if key in open_:
                 raise MeasureNotSupported(f"measures refer to each other in a circle: {key[1]}")
-            return self.translate(self.expressions[key], (*open_, key))
+            return self.translate(self.expressions[key], (*open_, key), leaves)
         raise MeasureNotSupported(f"outside the supported subset: {expression.strip()!r}")
 
     def describe(self) -> list[Measure]:
@@ -125,16 +135,17 @@ class Measures:
         return out
 
     def frame(self, names: list[tuple[str, str]] | None = None) -> DataFrame:
-        """One row with the given (by default, all supported) measures; all over one table share one pass over it."""
+        """One row with the given (by default, all supported) measures; all aggregates over one table share one pass over it."""
         wanted = names or [(m.table, m.name) for m in self.describe() if m.supported]
+        leaves: dict[str, tuple[str, Column]] = {}
+        values = [self.translate(self.expressions[key], leaves=leaves)[0].alias(key[1]) for key in wanted]
         by_table: dict[str, list[Column]] = {}
-        for key in wanted:
-            value, over = self.translate(self.expressions[key])
-            if len(over) > 1:
-                raise MeasureNotSupported(f"{key[1]} is over several tables: {', '.join(sorted(over))}")
-            by_table.setdefault(next(iter(over), key[0]), []).append(value.alias(key[1]))
+        for table, value in leaves.values():
+            by_table.setdefault(table, []).append(value)
         rows = [self.frames[t].agg(*cols) for t, cols in by_table.items()]
+        if not rows:  # numbers only: a row of any table's session
+            rows = [next(iter(self.frames.values())).sparkSession.range(1)]
         out = rows[0]
         for r in rows[1:]:  # one row each
             out = out.join(r)
-        return out.select(*[quoted(n) for _, n in wanted])
+        return out.select(*values)

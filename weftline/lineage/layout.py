@@ -90,7 +90,9 @@ def _visuals(layout: dict[str, Any]):
                 continue
             query = single.get("prototypeQuery") or {}
             entities = {f.get("Name"): f.get("Entity") for f in query.get("From", [])}
-            by_ref = {s.get("Name"): _reference(s, entities) for s in query.get("Select", [])}
+            # what no rule reads is kept by its name; items without a name stay apart
+            items = [(s.get("Name"), _reference(s, entities) or (None, s.get("Name") or "", "Unresolved")) for s in query.get("Select", [])]
+            by_ref = {name: ref for name, ref in items if name is not None}
             kind = single.get("visualType", "")
             visual = Visual(page, index, kind, VISUAL_TYPES.get(kind), filters=_json(container.get("filters"), []))
             role_of = {}
@@ -98,7 +100,7 @@ def _visuals(layout: dict[str, Any]):
                 found = [(u.get("queryRef"), by_ref.get(u.get("queryRef"))) for u in uses]
                 visual.roles[role] = [r for _, r in found if r]
                 role_of |= {ref: role for ref, r in found if r and ref not in role_of}
-            yield visual, [(r, role_of.get(name)) for name, r in by_ref.items() if r]
+            yield visual, [(r, role_of.get(name)) for name, r in items]
 
 
 def field_uses(layout: dict[str, Any]) -> list[FieldUse]:

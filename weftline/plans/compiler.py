@@ -220,7 +220,16 @@ class Compiler:
         cond = truth(self.value(node.cond, scope))
         if not is_column(cond):
             return self.value(node.then if cond else node.orelse, scope)
-        return F.when(cond, column(self.value(node.then, scope))).otherwise(column(self.value(node.orelse, scope)))
+        return F.when(cond, column(self._branch(node.then, scope))).otherwise(column(self._branch(node.orelse, scope)))
+
+    def _branch(self, node: N.Node, scope: Scope) -> Any:
+        """The value of a branch that some rows take; within try, an error there is one of these rows only."""
+        try:
+            return self.value(node, scope)
+        except MError:
+            if not self.trying:
+                raise
+            return None
 
     def _binop(self, node: N.BinOp, scope: Scope) -> Any:
         a = self.value(node.left, scope)

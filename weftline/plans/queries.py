@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dax
 from ..lineage import detect, graph
+from . import model_queries as more
 from .compiler import Compiler
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages")
@@ -360,9 +361,9 @@ SELECT * FROM c UNION ALL SELECT 'nodes', CAST(sum(count) AS BIGINT) FROM c UNIO
 
 
 def queries() -> dict[str, Query]:
-    out: dict[str, Query] = {name: _m(source, finish) for name, (source, finish, _) in (PROGRAMS | _joins()).items()}
-    return out | {"dax_measures": dax_measures} | {name: q for name, (q, _) in LINEAGE.items()}
+    out: dict[str, Query] = {name: _m(source, finish) for name, (source, finish, _) in (PROGRAMS | more.PROGRAMS | _joins()).items()}
+    return out | {"dax_measures": dax_measures} | {name: q for name, (q, _) in (LINEAGE | more.MODEL).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, _, sql) in (PROGRAMS | _joins()).items()} | {"dax_measures": DAX_SQL} | {name: sql for name, (_, sql) in LINEAGE.items()}
+    return {name: sql for name, (_, _, sql) in (PROGRAMS | more.PROGRAMS | _joins()).items()} | {"dax_measures": DAX_SQL} | {name: sql for name, (_, sql) in (LINEAGE | more.MODEL).items()}

@@ -6,6 +6,7 @@ function from address to bytes that tests and offline runs replace.
 
 from __future__ import annotations
 
+import csv as csv_module
 import io
 import json
 import urllib.request
@@ -27,6 +28,21 @@ def jdbc_url(server: str, database: str) -> str:
     return f"jdbc:sqlserver://{server};databaseName={database};trustServerCertificate=true"
 
 
+#: Stand for line breaks within a quoted field while its record is one line.
+_BREAKS = str.maketrans("\r\n", "\ue000\ue001")
+
+
+def _parsed(spark, reader, text: str):
+    """A text that the driver holds, as Spark's reader types it; a quoted field may hold line breaks."""
+    lines = []
+    for record in csv_module.reader(io.StringIO(text, newline="")):
+        line = io.StringIO()
+        csv_module.writer(line, lineterminator="").writerow([x.translate(_BREAKS) for x in record])
+        lines.append(line.getvalue())
+    df = reader.option("escape", '"').csv(spark.sparkContext.parallelize(lines))
+    return df.select(*[F.translate(c, "\ue000\ue001", "\r\n").alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
+
+
 def connectors(compiler) -> dict[str, Any]:
     spark = compiler.spark
     fetch = lambda url: (compiler.fetch or http_get)(url)
@@ -35,11 +51,11 @@ def connectors(compiler) -> dict[str, Any]:
         """Without a header: Column1..n, types inferred."""
         reader = spark.read.option("inferSchema", True).option("header", False)
         if isinstance(source, Handle) and source.kind == "file":
-            df = reader.csv(source.location["path"])
+            df = reader.option("multiLine", True).option("escape", '"').csv(source.location["path"])
         else:
             raw = source.location["bytes"]() if isinstance(source, Handle) else source
             text = raw.decode("utf-8-sig") if isinstance(raw, bytes) else str(raw)
-            df = reader.csv(spark.createDataFrame([(line,) for line in text.splitlines()], "value string")) if text else spark.createDataFrame([], "_c0 string")
+            df = _parsed(spark, reader, text) if text else spark.createDataFrame([], "_c0 string")
         return Table(df.toDF(*[f"Column{i + 1}" for i in range(len(df.columns))]))
 
     def content(source: Any) -> bytes:
