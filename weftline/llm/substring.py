@@ -165,9 +165,9 @@ def _removed(table: pa.Table, got: pa.Table, window: int) -> tuple[_Words, np.nd
     return w, np.cumsum(gone)[:-1] > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, texts: bool = True, bucket_bytes: int = buckets.BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and with ``texts`` the kept words as kept_text, for every row of docs."""
-    rows, n, _ = buckets.dealt(docs)
+    rows, n, _ = buckets.dealt(docs, bucket_bytes)
     hits = buckets.exchange(buckets.each(rows, lambda b, t: _probe(t, b, window, n), buckets.SENT), _hits)
     sent = buckets.each_with(rows, hits, lambda b, t, got: _extend(t, b, got, window, n), buckets.SENT)
     least = buckets.exchange(sent, _smallest)
