@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and all that its predecessor kept; its
 result is written as Parquet and read again as the next one's documents.
+
+Null texts are empty ones and stay null until the tokens; rows of one id are
+documents of their own, told apart by their text; a null id is an id like any
+other, larger than all. Rows equal in id and text are near-duplicates of each
+other. Further columns pass through, whatever their names. Empty tables give
+empty results; without labels no document is rejected.
 """
 
 from __future__ import annotations
