@@ -24,6 +24,8 @@ _M1 = np.uint64(0x9E3779B97F4A7C15)
 _M2 = np.uint64(0xBF58476D1CE4E5B9)
 _M3 = np.uint64(0x94D049BB133111EB)
 _LONG = 256
+#: Bytes, or spans, that a step works on at once, so that its arrays stay in the processor's cache.
+_BLOCK = 1 << 16
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,30 +71,49 @@ def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, word offset of each document) of the white-space words."""
-    starts, ends = spans_of(~SPACE[buf], offsets)
-    return starts, ends, np.searchsorted(starts, offsets)
+    """(starts, ends, word offset of each document) of the white-space words; words never cross an offset."""
+    n = len(buf)
+    starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lo in range(0, n, _BLOCK):
+        hi = min(lo + _BLOCK, n)
+        # the block's bytes and one on either side; places lo..hi that begin a document
+        inside = np.zeros(hi - lo + 2, bool)
+        inside[int(lo == 0) : len(inside) - int(hi == n)] = ~SPACE[buf[max(lo - 1, 0) : hi + 1]]
+        cut = np.zeros(hi - lo + 1, bool)
+        cut[offsets[np.searchsorted(offsets, lo) : np.searchsorted(offsets, hi, "right")] - lo] = True
+        own = inside[1:-1]
+        starts.append(np.flatnonzero(own & (~inside[:-2] | cut[:-1])) + lo)
+        ends.append(np.flatnonzero(own & (~inside[2:] | cut[1:])) + lo + 1)
+    first = np.concatenate(starts)
+    return first, np.concatenate(ends), np.searchsorted(first, offsets)
 
 
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each byte span, eight bytes of every span at a time."""
-    size = ends - starts
-    out = size.astype(np.uint64) * _M1 + np.uint64(1)
-    if not len(starts):
-        return out
+    out = np.empty(len(starts), np.uint64)
     padded = np.concatenate([buf, np.zeros(8, np.uint8)])
     lanes = np.ndarray(shape=(len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
-    keep = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], dtype=np.uint64)
+    for lo in range(0, len(starts), _BLOCK):
+        at = slice(lo, lo + _BLOCK)
+        out[at] = _hash_block(buf, lanes, starts[at], ends[at])
+    return out
+
+
+_KEEP = np.array([0] + [(1 << (8 * k)) - 1 for k in range(1, 9)], dtype=np.uint64)
+
+
+def _hash_block(buf: np.ndarray, lanes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = ends - starts
+    out = size.astype(np.uint64) * _M1 + np.uint64(1)
     active = np.arange(len(starts))
     at, left = starts, size
     long = np.flatnonzero(size > _LONG)
     if len(long):
-        raw = buf.tobytes()
-        out[long] = [xxhash.xxh64_intdigest(raw[s:e], 7) for s, e in zip(starts[long], ends[long])]
+        out[long] = [xxhash.xxh64_intdigest(buf[s:e].tobytes(), 7) for s, e in zip(starts[long], ends[long])]
         active = np.flatnonzero(size <= _LONG)
         at, left = starts[active], size[active]
     while len(active):
-        lane = lanes[at] & keep[np.minimum(left, 8)]
+        lane = lanes[at] & _KEEP[np.minimum(left, 8)]
         out[active] = mix(out[active] ^ lane) + _M1
         more = left > 8
         active, at, left = active[more], at[more] + 8, left[more] - 8
