@@ -18,6 +18,7 @@ spreads repeated ones, and a lost task must number them as before.
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
 from collections.abc import Callable
@@ -104,9 +105,24 @@ def answers(table: pa.Table) -> list[bytes]:
     return table.sort_by("part")["payload"].to_pylist()
 
 
+def _give_back() -> None:
+    """A worker's freed memory goes back to the system: workers stay, idle, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def each(docs: DataFrame, work: Callable[[int, pa.Table], pa.Table], schema: str) -> DataFrame:
     """work(bucket, its documents in order) for every bucket."""
-    return docs.groupBy("b").applyInArrow(lambda t: work(t["b"][0].as_py(), ordered(t)), schema)
+
+    def run(t: pa.Table) -> pa.Table:
+        out = work(t["b"][0].as_py(), ordered(t))
+        _give_back()
+        return out
+
+    return docs.groupBy("b").applyInArrow(run, schema)
 
 
 def each_with(docs: DataFrame, more: DataFrame, work: Callable[[int, pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -114,7 +130,9 @@ def each_with(docs: DataFrame, more: DataFrame, work: Callable[[int, pa.Table, p
     empty = pa.schema([(f.name, t) for f, t in zip(_fields(schema), _arrow(schema))]).empty_table()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        return work(left["b"][0].as_py(), ordered(left), right) if left.num_rows else empty
+        out = work(left["b"][0].as_py(), ordered(left), right) if left.num_rows else empty
+        _give_back()
+        return out
 
     return docs.groupBy("b").cogroup(more.groupBy("b")).applyInArrow(run, schema)
 
