@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import cast
 from ..m import nodes as N
 from ..plans.compiler import truth
-from ..plans.values import Function, Group, GroupValues, Marker, MError, Row, Table, column, is_column, quoted
+from ..plans.values import Function, Group, GroupValues, Marker, MError, Nested, Row, Table, column, is_column, quoted
 
 
 def names(v: Any) -> list[str]:
@@ -34,12 +34,12 @@ def select_columns(t: Table, cols: Any, *_: Any) -> Table:
     missing = [c for c in names(cols) if c not in t.df.columns]
     if missing:
         raise MError(f"no column {missing[0]!r}; there are {', '.join(t.df.columns)}")
-    return Table(t.df.select(*map(quoted, names(cols))))
+    return Table(t.df.select(*map(quoted, names(cols)))).nesting(t)
 
 
 def remove_columns(t: Table, cols: Any, *_: Any) -> Table:
     gone = set(names(cols))
-    return Table(t.df.select(*[quoted(c) for c in t.df.columns if c not in gone]))
+    return Table(t.df.select(*[quoted(c) for c in t.df.columns if c not in gone])).nesting(t)
 
 
 def rename_columns(t: Table, renames: Any, *_: Any) -> Table:
@@ -49,11 +49,11 @@ def rename_columns(t: Table, renames: Any, *_: Any) -> Table:
 
 def reorder_columns(t: Table, cols: Any, *_: Any) -> Table:
     first = [c for c in names(cols) if c in t.df.columns]
-    return t.with_df(t.df.select(*map(quoted, [*first, *[c for c in t.df.columns if c not in first]])))
+    return t.with_df(t.df.select(*map(quoted, [*first, *[c for c in t.df.columns if c not in first]]))).nesting(t)
 
 
 def add_column(t: Table, name: str, fn: Function, *_: Any) -> Table:
-    return t.with_df(t.df.withColumn(name, column(fn(row_of(t)))))
+    return t.with_df(t.df.withColumn(name, column(fn(row_of(t))))).nesting(t, (name,))
 
 
 def transform_columns(t: Table, changes: Any, *_: Any) -> Table:
@@ -124,7 +124,7 @@ def select_rows(t: Any, pred: Function) -> Any:
     if isinstance(t, Group):
         cond = column(truth(pred(Row(t.columns))))
         return Group(t.columns, t.order, cond if t.where is None else t.where & cond)
-    return t.with_df(t.df.where(column(truth(pred(row_of(t))))))
+    return t.with_df(t.df.where(column(truth(pred(row_of(t)))))).nesting(t)
 
 
 def sort(t: Table, keys: Any, *_: Any) -> Table:
@@ -137,7 +137,7 @@ def sort(t: Table, keys: Any, *_: Any) -> Table:
         name, way = (k, "asc") if isinstance(k, str) else (k[0], k[1] if len(k) > 1 else "asc")
         down = getattr(way, "value", way) in ("desc", 1)
         by.append(quoted(name).desc_nulls_last() if down else quoted(name).asc_nulls_last())
-    return Table(t.df.orderBy(*by), tuple(by))
+    return Table(t.df.orderBy(*by), tuple(by)).nesting(t)
 
 
 def distinct(t: Table, keys: Any = None, *_: Any) -> Table:
@@ -205,12 +205,38 @@ def join(t1: Table, keys1: Any, t2: Table, keys2: Any, kind: Any = None, *_: Any
 def expand_table(t: Table, name: str, cols: Any, new: Any = None) -> Table:
     """One row for each nested row; of an empty nested table, one row of nulls."""
     out = names(new if new is not None else cols)
+    if name in t.nested:
+        return expand_group(t, name, names(cols), out)
     rows = t.df.withColumn("__row", F.explode_outer(quoted(name)))
     have = t.df.schema[name].dataType.elementType.names
     picked = [(F.col("__row").getField(c) if c in have else F.lit(None).cast("string")).alias(n) for c, n in zip(names(cols), out)]
     return Table(rows.select(*[quoted(c) for c in t.df.columns if c != name], *picked))
 
 
+def expand_group(t: Table, name: str, cols: list[str], out: list[str]) -> Table:
+    """The same of a group's sub-tables: rows are joined to their group by its keys, so that no group is held as a whole.
+
+    The rows come in no order; that of the groups is remembered for what depends on it.
+    """
+    nested, left = t.nested[name], [c for c in t.df.columns if c != name]
+    have = nested.rows.columns
+    groups = t.df.select(*[quoted(c).alias(f"l{i}") for i, c in enumerate(left)])
+    picked = [(quoted(c) if c in have else F.lit(None).cast("string")).alias(f"r{i}") for i, c in enumerate(cols)]
+    rows = nested.rows.select(*[quoted(k).alias(f"k{i}") for i, k in enumerate(nested.keys)], *picked)
+    if nested.keys:
+        on = [F.col(f"l{left.index(k)}").eqNullSafe(F.col(f"k{i}")) for i, k in enumerate(nested.keys)]
+        full = groups.join(rows, on)
+        bare = groups.join(rows.select(*[f"k{i}" for i in range(len(nested.keys))]).distinct(), on, "left_anti")
+    else:
+        full, bare = groups.crossJoin(rows), groups.join(rows.limit(1), F.lit(True), "left_anti")
+    nulls = [F.lit(None).cast(rows.schema[f"r{i}"].dataType).alias(f"r{i}") for i in range(len(cols))]
+    df = full.select(*groups.columns, *[f"r{i}" for i in range(len(cols))]).unionAll(bare.select(*groups.columns, *nulls)) if nested.gaps else full
+    df = df.select(*[F.col(f"l{i}").alias(c) for i, c in enumerate(left)], *[F.col(f"r{i}").alias(n) for i, n in enumerate(out)])
+    if len(set(df.columns)) < len(df.columns):
+        return Table(df)
+    return Table(df, t.order).nesting(t)
+
+
 # -- groups, pivots --
 def group(t: Table, keys: Any, aggregates: Any, *_: Any) -> Table:
     """One row a group, null keys included, ordered by the keys with nulls last."""
@@ -218,15 +244,28 @@ def group(t: Table, keys: Any, aggregates: Any, *_: Any) -> Table:
     specs = pairs(aggregates)
     # the rows' order costs a row id, which is made only where some aggregate depends on it
     plain, ordered = Group(tuple(t.df.columns)), Group(tuple(t.df.columns), (F.col("__ord"),))
-    columns, needs = [], False
+    columns, needs, nested = [], False, {}
     for name, fn, *kind in specs:
-        c, by_order = _aggregate(fn(plain)), _aggregate(fn(ordered))
+        got = fn(plain)
+        c, by_order = _aggregate(got), _aggregate(fn(ordered))
         if str(c) != str(by_order):
             c, needs = by_order, True
-        columns.append((cast(c, kind[0], strict_int=False) if kind else c).alias(name))
+        as_kind = cast(c, kind[0], strict_int=False) if kind else c
+        if isinstance(got, Group) and as_kind is c and name not in keys:
+            nested[name] = got
+        columns.append(as_kind.alias(name))
+    nested = _nested(t.df, keys, nested)
     base = t.ranked()[0] if needs else t.df
     out = base.groupBy(*map(quoted, keys)).agg(*columns) if keys else base.agg(*columns)
-    return Table(out.orderBy(*[quoted(k).asc_nulls_last() for k in keys]), tuple(quoted(k).asc_nulls_last() for k in keys)) if keys else Table(out)
+    by = tuple(quoted(k).asc_nulls_last() for k in keys)
+    return Table(out.orderBy(*by) if keys else out, by, nested)
+
+
+def _nested(df: DataFrame, keys: list[str], groups: dict[str, Group]) -> dict[str, Nested]:
+    """What columns of sub-tables stand for. Rows that another reading might find otherwise are left to the arrays."""
+    if not groups or df.isStreaming or not df._jdf.queryExecution().analyzed().deterministic():
+        return {}
+    return {n: Nested(df if g.where is None else df.where(g.where), tuple(keys), gaps=g.where is not None or not keys) for n, g in groups.items()}
 
 
 def _aggregate(got: Any) -> Column:

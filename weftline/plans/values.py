@@ -14,16 +14,31 @@ class MError(Exception):
     """An M program that cannot be compiled, or an error that it raises itself."""
 
 
+@dataclass(frozen=True)
+class Nested:
+    """What a column of sub-tables that Table.Group made stands for: those of rows with the group's keys; with gaps, some groups may have none."""
+
+    rows: DataFrame
+    keys: tuple[str, ...]
+    gaps: bool
+
+
 @dataclass(frozen=True)
 class Table:
-    """A table: a lazy DataFrame, and the keys that order it where its order is known."""
+    """A table: a lazy DataFrame, the keys that order it where its order is known, and what its columns of sub-tables stand for."""
 
     df: DataFrame
     order: tuple[Column, ...] = ()
+    nested: dict[str, Nested] = field(default_factory=dict, compare=False)
 
     def with_df(self, df: DataFrame) -> Table:
         return Table(df, self.order)
 
+    def nesting(self, other: Table, changed: tuple[str, ...] = ()) -> Table:
+        """This table, made of other's rows, with those sub-tables of other whose column and keys are as they were."""
+        have = set(self.df.columns) - set(changed)
+        return Table(self.df, self.order, {n: x for n, x in other.nested.items() if have.issuperset((n, *x.keys))})
+
     def ranked(self) -> tuple[DataFrame, list[Column]]:
         """(df, keys of a total order): the known order, then the order of the scan."""
         return self.df.withColumn("__ord", F.monotonically_increasing_id()), [*self.order, F.col("__ord")]
