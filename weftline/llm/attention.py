@@ -52,22 +52,33 @@ def _bend(x: np.ndarray) -> np.ndarray:
     return x / (1 + np.abs(x))
 
 
-def _weights(x: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """Softmax over the places seen (1, else 0) of logits within 60, so that no sum overflows or is zero."""
-    np.exp(x, out=x)
-    x *= seen
-    x /= (x @ np.ones(x.shape[-1], np.float32))[..., None]
-    return x
-
-
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Of rows that are log probabilities plus a bend, cut at 60 both ways likewise."""
-    return np.log(np.exp(np.clip(x, -60, 60)) @ np.ones(x.shape[1], np.float32))
+    """Of rows that are log probabilities plus a bend, cut at 60 both ways, so that no sum overflows or is zero; x is used up."""
+    np.clip(x, -60, 60, out=x)
+    return np.log(np.exp(x, out=x) @ np.ones(x.shape[1], np.float32))
 
 
 _BACK = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _CAUSAL = (_BACK >= 0).astype(np.float32)
 _BACK0 = np.maximum(_BACK, 0)
+_ONES = np.ones(WINDOW, np.float32)
+#: Rows of one subword that are summed side by side.
+LANES = 8
+
+
+def _sums(rows: np.ndarray, which: np.ndarray, n: int) -> np.ndarray:
+    """[n, columns]: for each number below n the sum of its rows; which has the number of each row but the last, which is zero."""
+    order = np.argsort(which.astype(np.int16), kind="stable")
+    size = np.bincount(which, minlength=n)
+    have = np.flatnonzero(size)
+    size = size[have]
+    lines = -(-size // LANES)
+    begin = np.cumsum(lines) - lines
+    at = np.full(int(lines.sum()) * LANES, len(which))
+    at[np.arange(len(which)) + np.repeat(begin * LANES - (np.cumsum(size) - size), size)] = order
+    out = np.zeros((n, rows.shape[1]), np.float32)
+    out[have] = np.add.reduceat(np.take(rows, at.reshape(-1, LANES).T, axis=0).sum(0), begin, axis=0)
+    return out
 
 
 def gradient(p: dict, base: Counts, x: np.ndarray, context: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
@@ -76,39 +87,43 @@ def gradient(p: dict, base: Counts, x: np.ndarray, context: np.ndarray) -> tuple
     live = (tgt >= 0) & (x[:, :-1] >= 0)
     flat, cls = ctx.ravel(), np.maximum(tgt, 0).ravel() // CLASS
     scale = np.float32(DIM**-0.5)
-    parts = [np.ascontiguousarray(x) for x in np.split(p["e"], 4, axis=1)]
-    parts[0] *= scale
-    q, k_, v, u = (np.take(x, ctx, axis=0) for x in parts)
+    q, k_, v, u = (np.take(np.ascontiguousarray(part), ctx, axis=0) for part in np.split(p["e"], 4, axis=1))
+    # a softmax over the places seen, of logits within 60, so that no sum overflows or is zero
     a = q @ k_.transpose(0, 2, 1)
+    a *= scale
     np.clip(a, -30, 30, out=a)
     a += np.clip(p["rel"], -30, 30)[_BACK0]
-    a = _weights(a, _CAUSAL)
-    f = _bend(a @ v + u)
-    fs = f.reshape(-1, DIM)
+    np.exp(a, out=a)
+    a *= _CAUSAL
+    lines = a.reshape(-1, WINDOW)
+    lines /= (lines @ _ONES)[:, None]
+    f = a @ v
+    f += u
+    fs = _bend(f).reshape(-1, DIM)
     pc = fs @ p["c"].T
     pc += np.take(base.of_class, np.maximum(context, 0).ravel(), axis=0)
     np.exp(np.clip(pc, -60, 60, out=pc), out=pc)
-    pc /= (pc @ np.ones(pc.shape[1], np.float32))[:, None]
+    total = pc @ np.ones(pc.shape[1], np.float32)
     n = max(int(live.sum()), 1)
-    w, each = (live.ravel() / np.float32(n)).astype(np.float32), np.arange(len(flat))
-    loss = -float((np.log(np.maximum(pc[each, cls], 1e-30)) * w).sum())
-    pc *= w[:, None]
-    pc[each, cls] -= w
+    w, hit, of = (live.ravel() / np.float32(n)).astype(np.float32), np.arange(0, pc.size, pc.shape[1]) + cls, pc.ravel()
+    loss = -float(np.log(np.maximum(of[hit] / total, 1e-30)) @ w)
+    pc *= (w / total)[:, None]
+    of[hit] -= w
     g = {"c": pc.T @ fs}
-    dh = (pc @ p["c"] * (1 - np.abs(fs)) ** 2).reshape(f.shape)
-    da = dh @ v.transpose(0, 2, 1)
-    ds = a * (da - ((da * a) @ np.ones(WINDOW, np.float32))[..., None])
-    g["rel"] = np.bincount(_BACK0.ravel(), (ds.sum(0) * (_BACK >= 0)).ravel(), WINDOW).astype(np.float32)
-    de = np.empty((*ctx.shape, 4 * DIM), np.float32)
-    np.multiply(ds @ k_, scale, out=de[..., :DIM])
-    np.matmul(ds.transpose(0, 2, 1), q, out=de[..., DIM : 2 * DIM])
-    np.matmul(a.transpose(0, 2, 1), dh, out=de[..., 2 * DIM : 3 * DIM])
-    de[..., 3 * DIM :] = dh
-    order = np.argsort(flat.astype(np.int16), kind="stable")
-    which = flat[order]
-    begin = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
-    g["e"] = np.zeros_like(p["e"])
-    g["e"][which[begin]] = np.add.reduceat(np.take(de.reshape(len(flat), -1), order, axis=0), begin, axis=0)
+    dh = pc @ p["c"] * (1 - np.abs(fs)) ** 2
+    de = np.empty((len(flat) + 1, 4 * DIM), np.float32)
+    de[-1], de[:-1, 3 * DIM :] = 0, dh
+    each, dh = de[:-1].reshape(*ctx.shape, 4 * DIM), dh.reshape(f.shape)
+    ds = dh @ v.transpose(0, 2, 1)
+    slopes = ds.reshape(-1, WINDOW)
+    slopes -= ((slopes * lines) @ _ONES)[:, None]
+    ds *= a
+    g["rel"] = np.bincount(_BACK0.ravel(), (ds.sum(0) * _CAUSAL).ravel(), WINDOW).astype(np.float32)
+    ds *= scale
+    each[..., :DIM] = ds @ k_
+    each[..., DIM : 2 * DIM] = ds.transpose(0, 2, 1) @ q
+    each[..., 2 * DIM : 3 * DIM] = a.transpose(0, 2, 1) @ dh
+    g["e"] = _sums(de, flat, len(p["e"]))
     return loss, g
 
 
@@ -122,10 +137,18 @@ def train(p: dict, base: Counts, x: np.ndarray, context: np.ndarray, batch: int
         _, g = gradient(p, base, x[at].astype(np.int64), context[at].astype(np.int64))
         r = rate * (1 - 0.9 * step / total)
         for name in p:
-            m1, m2 = m[name]
-            m1 += 0.1 * (g[name] - m1)
-            m2 += 0.01 * (g[name] ** 2 - m2)
-            p[name] -= (r * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            (m1, m2), now = m[name], g[name]
+            m1 += np.float32(0.1) * (now - m1)
+            np.square(now, out=now)
+            now -= m2
+            now *= np.float32(0.01)
+            m2 += now
+            by = np.multiply(m2, np.float32(1 / (1 - 0.99**step)), out=now)
+            np.sqrt(by, out=by)
+            by += np.float32(1e-6)
+            np.divide(m1, by, out=by)
+            by *= np.float32(r / (1 - 0.9**step))
+            p[name] -= by
     return p
 
 
@@ -160,18 +183,22 @@ class Scorer:
 
     def _windows(self, ids, context, begin, end, w, out) -> None:
         at = (begin + w * STRIDE - OVERLAP)[:, None] + np.arange(WINDOW)
-        ctx = ids[np.clip(at, begin[:, None], end[:, None] - 1)]
+        last = end[:, None] - 1
+        ctx = ids[np.clip(at, begin[:, None], last)]
         here = at[:, OVERLAP:]
-        live = here < end[:, None] - 1
-        tgt = ids[np.minimum(here + 1, end[:, None] - 1)]
-        own = ctx[:, OVERLAP:]
+        live = (here < last).ravel()
+        here = np.minimum(here, last - 1)  # what is not live is worked out like the stream's last one, and left
+        own, tgt = ctx[:, OVERLAP:], ids[here + 1].ravel()
         s = np.take(self.seen, own[:, :, None] * len(self.u) + ctx[:, None, :])
         s *= self.rel
         s[w == 0, :, :OVERLAP] = 0  # before the stream's beginning
         f = s @ np.take(self.v, ctx, axis=0)
         f = f[..., :-1] / f[..., -1:]
-        f += self.u[own]
-        own, tgt, f = context[here[live]], tgt[live], _bend(f[live])
-        x = f @ self.c
-        x += np.take(self.base.of_class, own, axis=0)
-        out[here[live] + 1] = x[np.arange(len(own)), tgt // CLASS] - _log_sum(x) + self.base.within[own, tgt]
+        f += np.take(self.u, own, axis=0)
+        before = context[here].ravel()
+        x = _bend(f.reshape(-1, DIM)) @ self.c
+        x += np.take(self.base.of_class, before, axis=0)
+        got = x.ravel()[np.arange(0, x.size, x.shape[1]) + tgt // CLASS]
+        got -= _log_sum(x)
+        got += np.take(self.base.within, before * len(self.u) + tgt)
+        out[here.ravel()[live] + 1] = got[live]

@@ -29,12 +29,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import attention, batches, buckets
 from .shared import settle
-from .textbuf import Rolling, hash_spans, mix, text_buffer, word_spans
+from .textbuf import Rolling, hash_spans, mix, sorted_order, text_buffer, word_spans
 
 SUBWORDS, FOLDS, BUCKET_BYTES = 1024, 10, buckets.BUCKET_BYTES
 #: What is taken off each word's count and given to the attention model.
@@ -44,6 +45,8 @@ ROUNDS = 1
 #: Longest piece in bytes.
 LONGEST = 6
 SPAN = attention.WINDOW + 1
+#: What leaves 16 bits of 64.
+SLOT = np.uint64(48)
 
 
 class Pieces:
@@ -55,17 +58,22 @@ class Pieces:
         pieces = [b for r, b in sorted(ranks)[: subwords - 1]]
         self.end = subwords - 1
         self.byte = np.zeros(256, np.int16)
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # codes, ids, the first two bytes there are
+        self.by_size: dict[int, tuple] = {}  # a multiplier that gives each code a slot of its own; by slot codes and ids; the first two bytes there are
         for size in range(1, LONGEST + 1):
             own = [(int.from_bytes(b, "little"), i) for i, b in enumerate(pieces) if len(b) == size]
             if size == 1:
                 for c, i in own:
                     self.byte[c] = i
             elif own:
-                own.sort()
                 begins = np.zeros(1 << 16, bool)
                 begins[[c & 0xFFFF for c, _ in own]] = True
-                self.by_size[size] = np.array([c for c, _ in own], np.uint64), np.array([i for _, i in own], np.int16), begins
+                found, i = np.array([c for c, _ in own], np.uint64), np.array([i for _, i in own], np.int16)
+                by = np.uint64(0x9E3779B97F4A7C15)
+                while len(np.unique(found * by >> SLOT)) < len(own):
+                    by += np.uint64(0x632BE59BD9B4E01A)  # even, so that the sum stays odd
+                codes, ids = np.full(1 << 16, ~np.uint64(0)), np.zeros(1 << 16, np.int16)  # no code has all bits
+                codes[found * by >> SLOT], ids[found * by >> SLOT] = found, i
+                self.by_size[size] = by, codes, ids, begins
 
     def cut(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets) of the pieces of spans of buf."""
@@ -77,10 +85,10 @@ class Pieces:
             lane, left = lanes[at], stop - at
             best, taken = self.byte[buf[at]], np.ones(len(at), np.int64)
             two = lane.astype(np.uint16)
-            for size, (codes, ids, begins) in self.by_size.items():
+            for size, (by, codes, ids, begins) in self.by_size.items():
                 may = np.flatnonzero(begins[two] & (left >= size))
                 c = lane[may] & np.uint64((1 << (8 * size)) - 1)
-                i = np.minimum(np.searchsorted(codes, c), len(codes) - 1)
+                i = (c * by >> SLOT).view(np.int64)
                 hit = codes[i] == c
                 may = may[hit]
                 best[may], taken[may] = ids[i[hit]], size
@@ -110,7 +118,7 @@ class _Text:
         buf, offsets = text_buffer(table["text"], lower=True)
         starts, ends, self.first = word_spans(buf, offsets)
         words = hash_spans(buf, starts, ends)
-        order = np.argsort(words)
+        order = sorted_order(words)
         words = words[order]
         new = np.append(True, words[1:] != words[:-1])[: len(order)]
         self.keys, first = words[new], order[new]
@@ -143,14 +151,13 @@ class _Text:
         cum = np.concatenate([[0], np.cumsum(size)])
         per_doc = cum[self.first[lo : hi + 1] - self.first[lo]]
         offsets = per_doc + 2 * np.arange(hi - lo + 1)
-        out = np.full(int(offsets[-1]), end, np.int64)
-        inner = np.ones(len(out), bool)
+        context = np.full(int(offsets[-1]), end * attention.HASHES, np.int16)
+        inner = np.ones(len(context), bool)
         inner[offsets[:-1]] = inner[offsets[1:] - 1] = False
-        piece = np.repeat(self.at[w] - cum[:-1], size) + np.arange(int(cum[-1]))
-        out[inner] = self.ids[piece]
-        context = np.full(len(out), end * attention.HASHES, np.int64)
+        piece = np.repeat(self.at[w] - cum[:-1], size)
+        piece += np.arange(int(cum[-1]))
         context[inner] = self.context[piece]
-        return out, context, offsets
+        return (context // attention.HASHES).astype(np.int64), context.astype(np.int64), offsets
 
 
 def _training(table: pa.Table) -> np.ndarray:
@@ -178,12 +185,15 @@ def _windows(t: _Text, chosen: np.ndarray, end: int, turn: int) -> tuple[np.ndar
         k = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
         on = (k + begin[doc]) % ROUNDS == turn
         doc, k = doc[on], k[on]
-        at = (begin[doc] + k * attention.WINDOW)[:, None] + np.arange(SPAN)
-        inside, at = at < stop[doc][:, None], np.minimum(at, len(ids) - 1)
-        xs.append(np.where(inside, ids[at], -1).astype(np.int16))
-        cs.append(np.where(inside, context[at], -1)[:, :-1].astype(np.int16))
-        hs.append(mix(at[:, 0].astype(np.uint64) + mix(doc.astype(np.uint64) + np.uint64(lo))))
-    order = np.argsort(np.concatenate(hs), kind="stable")
+        at, stop = begin[doc] + k * attention.WINDOW, stop[doc]
+        beyond = np.flatnonzero(at + SPAN > stop)
+        outside = at[beyond, None] + np.arange(SPAN) >= stop[beyond, None]
+        for values, size, out in ((ids, SPAN, xs), (context, SPAN - 1, cs)):
+            got = sliding_window_view(np.append(values.astype(np.int16), np.zeros(SPAN, np.int16)), size)[at]
+            got[beyond] = np.where(outside[:, :size], np.int16(-1), got[beyond])
+            out.append(got)
+        hs.append(mix(at.astype(np.uint64) + mix(doc.astype(np.uint64) + np.uint64(lo))))
+    order = sorted_order(np.concatenate(hs))
     return np.concatenate(xs)[order], np.concatenate(cs)[order]
 
 
@@ -201,12 +211,11 @@ def _gather(b: int, table: pa.Table, cutter: Pieces, n: int) -> pa.Table:
     # pairs within words, by distinct word; then those from word to word, and at both ends of a text
     inner = np.ones(len(t.ids), bool)
     inner[t.at[:-1]] = False
-    second = np.flatnonzero(inner)
+    second, often = np.flatnonzero(inner), np.repeat(counts, t.size - 1)
     pairs = np.zeros(v * attention.HASHES * v, np.int64)
     for lo in range(0, len(second), 1 << 16):
         at = second[lo : lo + (1 << 16)]
-        of = np.searchsorted(t.at, at, "right") - 1
-        np.add.at(pairs, t.context[at - 1].astype(np.int64) * v + t.ids[at], counts[of].astype(np.int64))
+        np.add.at(pairs, t.context[at - 1].astype(np.int64) * v + t.ids[at], often[lo : lo + (1 << 16)].astype(np.int64))
     head, tail, end = t.ids[t.at[:-1]].astype(np.int64), t.context[t.at[1:] - 1].astype(np.int64), cutter.end * attention.HASHES
     full = np.flatnonzero(train & (n_words > 0))
     nxt = np.repeat(train, n_words)
